@@ -167,15 +167,21 @@ def scan_json_records(spark: SparkSession, path: str, schema: T.StructType = ENV
     return env.select(F.explode("data").alias("r")).select("r.*")
 
 
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_json(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").json(path)
+    """JSON lines with full microsecond timestamps (the default format drops them)."""
+    (df.write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT)
+     .option("timestampFormat", TS_FORMAT).json(path))
     return path
 
 
 def scan_news(spark: SparkSession, paths: list[str], as_of: str, period_days: int = 30) -> DataFrame:
     """SRC-7: union of result files, items of the last ``period_days`` up to
     ``as_of``, newest first (undated items last, then by id)."""
-    frames = [spark.read.schema(NEWS_ITEM_SCHEMA).json(p) for p in paths]
+    frames = [spark.read.schema(NEWS_ITEM_SCHEMA).option("timestampNTZFormat", TS_FORMAT)
+              .option("timestampFormat", TS_FORMAT).json(p) for p in paths]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
