@@ -105,6 +105,12 @@ JOIN {nation} n ON n.n_nationkey = c.c_nationkey
 JOIN {region} r ON r.r_regionkey = n.n_regionkey
 """
 
+TRAINING_BARS_SQL = """
+SELECT symbol, trade_date, CASE WHEN dayofmonth(trade_date) = 13 THEN NULL ELSE open END AS Open,
+       close AS Close, high AS High, low AS Low, CAST(volume AS DOUBLE) AS Volume
+FROM bars
+"""
+
 # name -> (sql template, fixtures it reads)
 FIXTURE_SQL = {
     "bars": (BARS_SQL, ()),
@@ -116,6 +122,7 @@ FIXTURE_SQL = {
     "sentences": (SENTENCES_SQL, ("news",)),
     "pairs": (PAIRS_SQL, ()),
     "tab": (TAB_SQL, ()),
+    "training_bars": (TRAINING_BARS_SQL, ("bars",)),
 }
 
 _PLAIN = {t: t for t in TABLES}
@@ -137,6 +144,8 @@ def oracle_with(body: str, *names: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n][0].format(**_PLAIN).strip()})" for n in order)
     stripped = body.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{stripped[15:]}"
     if stripped[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -216,3 +225,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, TAB_SQL)
+
+
+def training_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OHLCV training input; Open is missing on the 13th of each month (FLT-5 cases)."""
+    b = bars(spark, sf_dir)
+    return b.select("symbol", "trade_date",
+                    F.when(F.dayofmonth("trade_date") == 13, F.lit(None)).otherwise(F.col("open")).alias("Open"),
+                    F.col("close").alias("Close"), F.col("high").alias("High"), F.col("low").alias("Low"),
+                    F.col("volume").cast("double").alias("Volume"))
