@@ -25,6 +25,7 @@ from bourse.functions.dates import next_business_day
 TARGETS = ["Open", "Close", "High", "Low", "Volume"]
 WINDOW_DAYS = 20
 HORIZON = 10
+MISSING_LAG = -1.0
 
 
 def lag_name(t: str, k: int) -> str:
@@ -111,7 +112,8 @@ class MultiTargetModel:
         self.models = models
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df
+        present = [c for c in lag_columns(WINDOW_DAYS) if c in df.columns]
+        out = df.fillna(MISSING_LAG, subset=present)
         for t in TARGETS:
             out = self.models[t].transform(out).withColumnRenamed("prediction", f"Pred_{t}").drop("features")
         return out
@@ -131,10 +133,11 @@ def train_price_model(features: DataFrame, trees: int = 250, depth: int = 5, rat
                       day: int = WINDOW_DAYS) -> MultiTargetModel:
     """MOD-1: boosted trees per target over all symbols pooled.
 
-    Missing lags become NaN (``handleInvalid='keep'``). The training table is
-    cached once for the five fits.
+    Spark trees take no NaN, so a missing lag gets the sentinel -1 (below
+    any price or volume: the trees can split it off, as a missing-value
+    branch would). The training table is cached once for the five fits.
     """
-    data = features.select(*feature_columns(day), *TARGETS).cache()
+    data = features.select(*feature_columns(day), *TARGETS).fillna(MISSING_LAG, subset=lag_columns(day)).cache()
     models = {}
     for t in TARGETS:
         asm = VectorAssembler(inputCols=feature_columns(day), outputCol="features", handleInvalid="keep")
