@@ -434,3 +434,13 @@ def q_metric_callback(spark: SparkSession, sf: str) -> DataFrame:
     """UDF-4: argmax over the per-class score array, then accuracy per split."""
     p = _gnb(spark, sf).withColumn("pred_idx", EV.argmax_index(F.col("scores")))
     return EV.accuracy(p, "label", "pred_idx", ["split"])
+
+
+@register("scan_survey", W("SELECT * FROM tab", "tab"))
+def q_scan_survey(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-8: the mixed numeric/category table landed as CSV, read with its schema."""
+    from bourse.session import scratch_path
+    from bourse.sources import files as S
+
+    path = S.write_csv(_tab(spark, sf), scratch_path(spark, "survey-csv"))
+    return S.scan_survey(spark, path)

@@ -1 +1,62 @@
-"""Registered queries (filled in below)."""
+"""Registered streaming jobs (STR-1..3): land files, drain with availableNow, read the sink."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bourse.plans.registry import register
+from bourse.session import scratch_path
+from bourse.sources import files as S
+from bourse.sources import fixtures as X
+from bourse.sources.fixtures import oracle_with as W
+from bourse.streaming import streams as ST
+
+_NEWS_AB = ("u AS (SELECT * FROM news WHERE published_at IS NULL OR published_at < TIMESTAMP '2024-01-20' "
+            "UNION ALL SELECT * FROM news WHERE published_at >= TIMESTAMP '2024-01-15')")
+
+
+def _land_news(spark: SparkSession, sf: str) -> str:
+    """Two overlapping result lists landed as JSON files in one folder."""
+    n = X.news(spark, sf)
+    landing = scratch_path(spark, "news-landing")
+    a = n.where(F.col("published_at").isNull() | (F.col("published_at") < F.lit("2024-01-20").cast("timestamp_ntz")))
+    b = n.where(F.col("published_at") >= F.lit("2024-01-15").cast("timestamp_ntz"))
+    for part in (a, b):
+        (part.write.mode("append").option("timestampNTZFormat", S.TS_FORMAT)
+         .option("timestampFormat", S.TS_FORMAT).json(landing))
+    return landing
+
+
+@register("stream_upsert_bars", W(
+    "SELECT symbol, trade_date, high, low, open, close, volume, value, batch FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY batch DESC) AS rn "
+    "FROM (SELECT * FROM bars_base UNION ALL SELECT * FROM bars_delta)) WHERE rn = 1",
+    "bars_base", "bars_delta"))
+def q_stream_upsert_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-1: bar batches landed as files, upserted micro-batch by micro-batch."""
+    landing = scratch_path(spark, "bars-landing")
+    for part in (X.bars_base(spark, sf), X.bars_delta(spark, sf)):
+        part.withColumn("batch", F.col("batch").cast("int")).write.mode("append").parquet(landing)
+    return ST.stream_upsert_bars(spark, landing, scratch_path(spark, "bars-stream-out"),
+                                 scratch_path(spark, "bars-stream-ckpt"))
+
+
+@register("stream_news_mood", W(
+    f"WITH {_NEWS_AB} SELECT symbol, CAST(date_trunc('day', published_at) AS DATE) AS day, "
+    "round(coalesce(avg(CASE label WHEN 'Positive' THEN 1 WHEN 'Neutral' THEN 0 WHEN 'Negative' THEN -1 END), 0), 6) "
+    "AS mood, count(*) AS items FROM u WHERE published_at IS NOT NULL GROUP BY 1, 2", "news"))
+def q_stream_news_mood(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-2: daily mood per symbol from a news file stream (watermarked windows)."""
+    landing = _land_news(spark, sf)
+    return ST.stream_news_mood(spark, landing, scratch_path(spark, "mood-stream-out"),
+                               scratch_path(spark, "mood-stream-ckpt"))
+
+
+@register("stream_first_seen_news", W(
+    f"WITH {_NEWS_AB} SELECT DISTINCT link FROM u WHERE published_at IS NOT NULL", "news"))
+def q_stream_first_seen_news(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-3: every link once, deduplicated within the watermark."""
+    landing = _land_news(spark, sf)
+    return ST.stream_first_seen_news(spark, landing, scratch_path(spark, "seen-stream-out"),
+                                     scratch_path(spark, "seen-stream-ckpt")).select("link")
