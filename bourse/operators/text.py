@@ -49,18 +49,18 @@ def truncate_tokens(tokens: Column, n: int) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Word n-grams joined by a blank; empty when fewer than n tokens."""
+    """Word n-grams joined by a blank; empty when fewer than n tokens.
+
+    Built from n shifted slices zipped together, so the token array is
+    evaluated n times per row, not once per n-gram (a lambda that slices the
+    token expression would re-tokenize the text for every position).
+    """
     if n == 1:
         return tokens
-    return F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1),
-                       lambda i: F.array_join(F.slice(tokens, i, n), " "))
-
-
-def _gram_counts(pairs: DataFrame, keys: list[str], text_col: str, n: int, side: str) -> DataFrame:
-    toks = tokenize_words(F.col(text_col))
-    g = pairs.select(*keys, F.when(F.size(toks) >= n, ngrams(toks, n)).otherwise(F.array()).alias("g"))
-    return g.select(*keys, F.explode("g").alias("gram")).groupBy(*keys, "gram") \
-        .agg(F.count(F.lit(1)).alias(f"c_{side}"))
+    count = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    shifted = [F.slice(tokens, k + 1, count) for k in range(n)]
+    zipped = F.arrays_zip(*shifted)
+    return F.transform(zipped, lambda z: F.concat_ws(" ", *[z[str(k)] for k in range(n)]))
 
 
 def _prf(overlap: Column, cand: Column, ref: Column, digits: int) -> list[Column]:
@@ -70,18 +70,35 @@ def _prf(overlap: Column, cand: Column, ref: Column, digits: int) -> list[Column
     return [F.round(p, digits).alias("precision"), F.round(r, digits).alias("recall"), F.round(f, digits).alias("f1")]
 
 
+def rouge_scores(pairs: DataFrame, keys: list[str], orders: tuple[int, ...] = (1, 2),
+                 ref_col: str = "reference_text", cand_col: str = "candidate_text", digits: int = 6) -> DataFrame:
+    """AGG-5: clipped n-gram overlap -> precision (/candidate), recall (/reference), F1.
+
+    One pass: every (n, side, gram) of a pair is exploded once, one aggregate
+    on (pair, n, gram) counts both sides (partial aggregation before the
+    shuffle), a second sums the clipped overlap per (pair, n). No join.
+    """
+    t = pairs.select(*keys, tokenize_words(F.col(ref_col)).alias("r"), tokenize_words(F.col(cand_col)).alias("c"))
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), ngrams(F.col(col), n).alias("g"))
+                      for n in orders for side, col in (("ref", "r"), ("cand", "c"))])
+    e = t.select(*keys, F.explode(grams).alias("x")).select(*keys, "x.n", "x.side", F.explode("x.g").alias("gram"))
+    per_gram = e.groupBy(*keys, "n", "gram").agg(
+        F.count_if(F.col("side") == "ref").alias("c_ref"), F.count_if(F.col("side") == "cand").alias("c_cand"))
+    per = per_gram.groupBy(*keys, "n").agg(
+        F.sum(F.least("c_ref", "c_cand")).alias("overlap"), F.sum("c_ref").alias("ref_n"),
+        F.sum("c_cand").alias("cand_n"))
+    # pairs whose texts have no n-grams still get a (zero) row per order
+    base = t.select(*keys, F.explode(F.array(*[F.lit(n) for n in orders])).alias("n"))
+    out = base.join(per, [*keys, "n"], "left").fillna(0, ["overlap", "ref_n", "cand_n"])
+    return out.select(*keys, F.concat(F.lit("rouge"), F.col("n").cast("string")).alias("metric"),
+                      "overlap", "ref_n", "cand_n",
+                      *_prf(F.col("overlap").cast("double"), F.col("cand_n"), F.col("ref_n"), digits))
+
+
 def rouge_n(pairs: DataFrame, keys: list[str], n: int, ref_col: str = "reference_text",
             cand_col: str = "candidate_text", digits: int = 6) -> DataFrame:
-    """AGG-5: clipped n-gram overlap -> precision (/candidate), recall (/reference), F1."""
-    ref = _gram_counts(pairs, keys, ref_col, n, "ref")
-    cand = _gram_counts(pairs, keys, cand_col, n, "cand")
-    j = ref.join(cand, [*keys, "gram"], "full")
-    per = j.groupBy(*keys).agg(
-        F.sum(F.least(F.coalesce("c_ref", F.lit(0)), F.coalesce("c_cand", F.lit(0)))).alias("overlap"),
-        F.sum(F.coalesce("c_ref", F.lit(0))).alias("ref_n"), F.sum(F.coalesce("c_cand", F.lit(0))).alias("cand_n"))
-    base = pairs.select(*keys).join(per, keys, "left").fillna(0, ["overlap", "ref_n", "cand_n"])
-    return base.select(*keys, F.lit(f"rouge{n}").alias("metric"), "overlap", "ref_n", "cand_n",
-                       *_prf(F.col("overlap").cast("double"), F.col("cand_n"), F.col("ref_n"), digits))
+    """AGG-5 for one order n."""
+    return rouge_scores(pairs, keys, (n,), ref_col, cand_col, digits)
 
 
 def lcs_length(a: list, b: list) -> int:

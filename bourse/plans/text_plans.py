@@ -56,8 +56,7 @@ def _rouge_sql(n: int) -> str:
     f"{_prf_sql('overlap', 'cand_n', 'ref_n')} FROM (SELECT * FROM out1 UNION ALL SELECT * FROM out2)", "pairs"))
 def q_rouge_n(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-5: ROUGE-1 and ROUGE-2 of every (user, assistant) pair."""
-    p = X.pairs(spark, sf)
-    return TX.rouge_n(p, KEYS, 1).unionByName(TX.rouge_n(p, KEYS, 2))
+    return TX.rouge_scores(X.pairs(spark, sf), KEYS, (1, 2))
 
 
 @register("rouge_l")
