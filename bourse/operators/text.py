@@ -1,7 +1,8 @@
 """Text: tokens, ROUGE-1/2/L, extractive summaries, batched text functions.
 
-ROUGE-n is a join of two n-gram count tables keyed by (pair, gram): fine
-grained keys, partial aggregation before every shuffle. ROUGE-L needs a
+ROUGE-n explodes every (order, side, n-gram) of a pair once and counts both
+sides in one aggregate keyed by (pair, order, gram): fine-grained keys,
+partial aggregation before every shuffle, no join of n-gram tables. ROUGE-L needs a
 longest common subsequence per pair; that is a per-row computation done in
 an Arrow-batched pandas UDF with a bit-parallel LCS (word-length bit vectors
 as Python integers: O(len(a) * len(b) / 64) per pair, whole texts).
