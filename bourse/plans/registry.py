@@ -32,7 +32,7 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
     # Importing the plan modules fills REGISTRY.
     from bourse.plans import (  # noqa: F401
         market_plans, news_plans, forecast_plans, profile_plans, text_plans, model_plans,
-        stream_plans,
+        stream_plans, neighbour_plans,
     )
 
     return REGISTRY
