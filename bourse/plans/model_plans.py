@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bourse.operators import classify as C
 from bourse.operators import forecast as FC
+from bourse.operators import neighbours as NB
 from bourse.operators import prep as PR
 from bourse.operators import text as TX
 from bourse.operators.evaluate import accuracy, confusion_counts
@@ -190,12 +191,16 @@ def q_grid_search_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("compare_sampling")
 def q_compare_sampling(spark: SparkSession, sf: str) -> DataFrame:
-    """MOD-17: the same boosted trees with undersampling and without; error
-    counts on every split and on all rows (Q13)."""
-    train, data, _ = _tabular(spark, sf)
+    """MOD-17: the same boosted trees with undersampling, SMOTE oversampling
+    and no resampling; error counts on every split and on all rows (Q13)."""
+    train, data, feats = _tabular(spark, sf)
+    synthetic = NB.smote(train.select("row_id", "label", *feats), "row_id", "label", feats, SEED)
+    over = C.assemble(train.select("row_id", "label", *feats).unionByName(
+        synthetic.select((-F.col("i")).alias("row_id"), "label", *feats)), feats)
     est = C.estimators("gradient_boost", trees=20, depth=5, rate=0.1)
     out = None
-    for name, rows in (("under", PR.random_undersample(train, "row_id", "label", SEED)), ("none", train)):
+    for name, rows in (("under", PR.random_undersample(train, "row_id", "label", SEED)), ("over", over),
+                       ("none", train)):
         pred = C.fit_predict(est, rows, data)
         per = confusion_counts(pred, ["split"]).unionByName(confusion_counts(pred).select(F.lit("all").alias("split"), "*"))
         r = per.select(F.lit(name).alias("sampling"), "*")
