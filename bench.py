@@ -24,6 +24,7 @@ HEADLINE = [
     "extractive_summary",    # MOD-7: TF-IDF summary of every document
     "describe_numeric",      # AGG-7: exact quartiles via distributed ranks
     "classification_report", # PRE-11 + MOD-11 + AGG-15
+    "knn_classifier",        # JOI-5 + MOD-10: exact k-d tree neighbours, vote
     "stream_news_mood",      # STR-2: file stream, watermark, windows
 ]
 
