@@ -25,6 +25,9 @@ MAX_INPUT_TOKENS = 512
 MAX_TARGET_TOKENS = 128
 SUMMARY_MAX_TOKENS = 80
 SUMMARY_MIN_TOKENS = 55
+# Largest vocabulary (terms) broadcast to every task (~ tens of MB); above it
+# the token-weight join is a salted shuffle join.
+BROADCAST_TERMS = 2_000_000
 ASCII_TOKEN_SPLIT = "[^a-z0-9]+"
 UNICODE_TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -147,6 +150,24 @@ def sentences(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> D
     return docs.select(key, F.posexplode(parts).alias("pos", "sentence"))
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before CPU-heavy text work.
+
+    A small file may be one row group, which a scan reads in one task. When
+    the planner's size estimate is below one split per core, a round-robin
+    repartition costs little; above it (any large input) the scan already
+    has enough splits and the plan is left alone.
+    """
+    spark = df.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # no JVM handle (e.g. a remote session): leave the plan alone
+        return df
+    return df.repartition(cores) if size < split * cores else df
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: str, salt_from: Column, salts: int) -> DataFrame:
     """Equi-join that spreads every key of ``big`` over ``salts`` tasks; ``small``
     (one row per key) is replicated ``salts`` times."""
@@ -164,12 +185,24 @@ def extractive_summary(docs: DataFrame, key: str = "doc_id", text_col: str = "te
     score, then position; keep while the running token count <= max_tokens
     (the best sentence always). Returns doc_id, summary, tokens, sentences.
     """
+    docs = spread_small_input(docs)
     sents = sentences(docs, key, text_col).withColumn("tokens", tokenize_unicode(F.col("sentence")))
     toks = sents.select(key, "pos", F.posexplode("tokens").alias("tpos", "term"))
     n_docs = docs.select(key).distinct().count()
-    df_ = toks.select(key, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Sentence breaks are token separators, so a document's terms are the
+    # distinct tokens of its whole text: found inside the row (no shuffle of
+    # (document, term) pairs); the counts aggregate partially before the shuffle.
+    df_ = docs.select(F.explode(F.array_distinct(tokenize_unicode(F.col(text_col)))).alias("term")) \
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = df_.select("term", F.log((F.lit(n_docs + 1.0)) / (F.col("df") + 1.0)).alias("w"))
-    tw = salted_join(toks, weights, "term", F.struct(key, "pos", "tpos"), salts)
+    # The vocabulary is read by the size check and the join: materialise it.
+    weights = weights.checkpoint(eager=True)
+    if weights.count() <= BROADCAST_TERMS:
+        # Checked size: every task joins its tokens locally; only per-sentence
+        # partial averages are shuffled.
+        tw = toks.join(F.broadcast(weights), "term")
+    else:
+        tw = salted_join(toks, weights, "term", F.struct(key, "pos", "tpos"), salts)
     scores = tw.groupBy(key, "pos").agg(F.round(F.avg("w"), 9).alias("score"))
     s = sents.join(scores, [key, "pos"], "left").withColumn("n_tok", F.size("tokens"))
     w = Window.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), F.col("pos"))
