@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bourse.sources.tables import spread_small_input
+
 # Fixed values of the text jobs.
 TASK_PREFIX = "summarize: "
 MAX_INPUT_TOKENS = 512
@@ -150,24 +152,6 @@ def sentences(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> D
     return docs.select(key, F.posexplode(parts).alias("pos", "sentence"))
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before CPU-heavy text work.
-
-    A small file may be one row group, which a scan reads in one task. When
-    the planner's size estimate is below one split per core, a round-robin
-    repartition costs little; above it (any large input) the scan already
-    has enough splits and the plan is left alone.
-    """
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # no JVM handle (e.g. a remote session): leave the plan alone
-        return df
-    return df.repartition(cores) if size < split * cores else df
-
-
 def salted_join(big: DataFrame, small: DataFrame, on: str, salt_from: Column, salts: int) -> DataFrame:
     """Equi-join that spreads every key of ``big`` over ``salts`` tasks; ``small``
     (one row per key) is replicated ``salts`` times."""

@@ -9,8 +9,33 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+# Inputs below this estimate are left as scanned (dimension tables: they are
+# broadcast anyway).
+SPREAD_MIN_BYTES = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst pushes filters and column pruning into it."""
+    """Lazy parquet scan; Catalyst pushes filters and column pruning into it
+    (also through the repartition of ``spread_small_input``)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_input(df, SPREAD_MIN_BYTES)
+
+
+def spread_small_input(df: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Spread a small input over all cores.
+
+    A small file may be one row group, which a scan reads in one task. When
+    the planner's size estimate is below one split per core, a repartition
+    costs little; above it (any large input) the scan already has enough
+    splits and the plan is left alone.
+    """
+    spark = df.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # no JVM handle (e.g. a remote session): leave the plan alone
+        return df
+    return df.repartition(cores) if min_bytes <= size < split * cores else df
