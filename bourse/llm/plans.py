@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bourse.llm import license as licenses
-from bourse.llm import rules
+from bourse.llm import minhash, quality, rules
+from bourse.llm.sampling import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remainder("doc_id", 5)
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"),
+                                  left != 0, left == 0)
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -21,6 +32,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_minhash_near_dedup": (op3_minhash_near_dedup, None),
+    "op7_quality_classifier": (op7_quality_classifier, None),
     "op8_license_scans": (op8_license_scans, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
