@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bourse.llm import license as licenses
-from bourse.llm import minhash, quality, rules
+from bourse.llm import minhash, quality, rules, toxicity
 from bourse.llm.sampling import remainder
 
 
@@ -17,6 +17,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remainder("doc_id", 4)
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"),
+                                    left != 2, left == 2)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remainder("doc_id", 5)
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"),
@@ -33,6 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_minhash_near_dedup": (op3_minhash_near_dedup, None),
+    "op4_toxicity": (op4_toxicity, None),
     "op7_quality_classifier": (op7_quality_classifier, None),
     "op8_license_scans": (op8_license_scans, None),
     "op10_quality_rules": (op10_quality_rules, None),
