@@ -168,8 +168,10 @@ def quality_rules(docs: DataFrame, *, max_class_distance: float = 0.22, max_word
             .drop("classes", "common").checkpoint())
     good = rows.where(~F.col("base_failed"))
     by_lang = _means(good.where(F.col("lang").isNotNull()), "lang").where(F.col("n_ref") >= min_docs).drop("n_ref")
-    overall = _means(good)
-    joined = rows.join(by_lang, "lang", "left").join(F.broadcast(overall))  # overall: one row
+    overall = _means(good).first()  # one row of fixed size
+    joined = rows.join(by_lang, "lang", "left")
+    for name in ("class_share", "word_share"):
+        joined = joined.withColumn(f"{name}_all", F.array(*[F.lit(x).cast("double") for x in overall[f"{name}_all"]]))
     out = joined.withColumns({
         "class_distance": F.when(F.col("n_chars_") >= min_chars, js_distance(
             F.col("class_share"), F.coalesce("class_share_lang", "class_share_all"))),
