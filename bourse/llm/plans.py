@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bourse.llm import chat, minhash, quality, rules, toxicity, warc
+from bourse.llm import chat, minhash, packing, quality, rules, toxicity, warc
 from bourse.llm import license as licenses
 from bourse.llm.sampling import remainder
 from bourse.session import scratch_path
@@ -84,6 +84,11 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -95,5 +100,6 @@ QUERIES = {
     "op4_toxicity": (op4_toxicity, None),
     "op7_quality_classifier": (op7_quality_classifier, None),
     "op8_license_scans": (op8_license_scans, None),
+    "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
