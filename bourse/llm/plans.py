@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bourse.llm import chat, minhash, packing, quality, rules, toxicity, warc
+from bourse.llm import chat, decontam, lines, minhash, packing, quality, rules, toxicity, warc
 from bourse.llm import license as licenses
 from bourse.llm.sampling import remainder
 from bourse.session import scratch_path
@@ -74,6 +75,42 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     left != 2, left == 2)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)))
+    return lines.dedup_lines(docs, count="n_dropped").select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, ls[i] AS line
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+w AS (SELECT *, list_filter(string_split_regex(
+        translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda x: x <> '') AS ws FROM l),
+e AS (SELECT doc_id, line_no, ws, array_to_string(ws, ' ') AS k FROM w WHERE len(ws) >= 6),
+c AS (SELECT k, any_value(ws) AS ws, min({'d': doc_id, 'l': line_no}) AS first FROM e GROUP BY k),
+v AS (SELECT k, len(ws) AS n, first, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') AS rest
+      FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM c)),
+late AS (SELECT a.k FROM v a JOIN v b ON a.rest = b.rest AND a.p = b.p AND a.n = b.n WHERE a.first > b.first
+         UNION SELECT a.k FROM v a JOIN c b ON a.rest = b.k WHERE a.first > b.first
+         UNION SELECT b.k FROM v a JOIN c b ON a.rest = b.k WHERE b.first > a.first),
+gone AS (SELECT e.doc_id, e.line_no FROM e JOIN c ON e.k = c.k
+         WHERE e.k IN (SELECT k FROM late) OR c.first <> {'d': e.doc_id, 'l': e.line_no}),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_dropped,
+                string_agg(CASE WHEN g.line_no IS NULL THEN l.line END, chr(10) ORDER BY l.line_no) AS text
+         FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id)
+SELECT t.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_dropped, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(k.text, '')) AS text_sha256
+FROM documents t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remainder("doc_id", 5)
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"),
@@ -98,6 +135,8 @@ QUERIES = {
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
     "op3_minhash_near_dedup": (op3_minhash_near_dedup, None),
     "op4_toxicity": (op4_toxicity, None),
+    "op5_benchmark_decontamination": (op5_benchmark_decontamination, None),
+    "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
     "op8_license_scans": (op8_license_scans, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
