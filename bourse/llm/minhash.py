@@ -23,8 +23,8 @@ whose two documents still lie in different components is tested (one of the
 two is outside the list's largest component, so the join is stragglers times
 members). Pairs inside one component need no test: they cannot change it.
 
-At ``threshold`` 0.85 the chance that a linked pair has fewer than 28 of 48
-equal coordinates is below 1e-6.
+``matches`` is the largest count that a pair at the threshold misses with a
+chance of at most 1e-6 (``least_matches``): 27 of 48 at 0.85, 24 at 0.8.
 
 Edge cases: null, empty or wordless text has no set, n_shingles 0 and is its
 own component; repeated rows and ties stay, each with its row; the smallest
@@ -35,6 +35,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,14 +74,14 @@ def shingle_sets(d: np.ndarray, o: np.ndarray, k: int = SHINGLE) -> tuple[np.nda
     return g, np.bincount(owner, minlength=n)
 
 
-SIG_DDL = "doc_id long, n_shingles long, digest binary, sig array<int>"
+SIG_DDL = "doc_id long, text_key long, n_shingles long, digest binary, sig array<int>"
 
 
 def _signer(coordinates: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, off = T.column(batch, "text")
-            ids = T.keep_columns(batch, ["doc_id"])[0]
+            ids, keys = T.keep_columns(batch, ["doc_id", "text_key"])
             for i, j, d, o in T.blocks(data, off):
                 g, counts = shingle_sets(d, o)
                 ends = np.cumsum(counts)
@@ -95,9 +96,9 @@ def _signer(coordinates: int):
                     u = np.unique(g[ends[x] - counts[x]:ends[x]])
                     n[x], digest[x] = len(u), hashlib.blake2b(u.tobytes(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n), pa.array(digest, pa.binary()),
+                    [ids.slice(i, j - i), keys.slice(i, j - i), pa.array(n), pa.array(digest, pa.binary()),
                      T.ragged(sig.view(np.int32).reshape(-1), np.where(counts > 0, coordinates, 0), pa.int32())],
-                    names=["doc_id", "n_shingles", "digest", "sig"])
+                    names=["doc_id", "text_key", "n_shingles", "digest", "sig"])
     return run
 
 
@@ -115,9 +116,19 @@ def _set_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame, coordinates: int) -> DataFrame:
-    """doc_id, set size, set digest (null without a word) and signature of each row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _signer(coordinates), SIG_DDL)
+    """doc_id, hash of the text, set size, set digest (null without a word) and signature of each row."""
+    cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return cols.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signer(coordinates), SIG_DDL)
+
+
+def least_matches(threshold: float, coordinates: int, miss: float = 1e-6) -> int:
+    """Equal coordinates that a pair at ``threshold`` has but for a chance of ``miss``."""
+    total = 0.0
+    for m in range(coordinates + 1):
+        total += math.comb(coordinates, m) * threshold ** m * (1 - threshold) ** (coordinates - m)
+        if total > miss:
+            return max(1, m)
+    return coordinates
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -167,9 +178,10 @@ def _tested(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, pe
             .select("a", "b", (100 * inter >= percent * union).alias("linked")))
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.85, coordinates: int = 48, matches: int = 28) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, coordinates: int = 48) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_key (hash of the text), n_shingles, component_id and kept."""
     percent = round(100 * threshold)
+    matches = least_matches(threshold, coordinates)
     rows = signatures(docs, coordinates).checkpoint()
     classes = (rows.where(F.col("digest").isNotNull()).groupBy("digest")
                .agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"),
@@ -229,5 +241,26 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.85, coordinates: in
     first = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(first, "comp").select(F.col("digest").alias("of"), "component_id")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return (rows.select("doc_id", "n_shingles", "digest").join(by_class, F.col("digest") == F.col("of"), "left")
-            .select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")))
+    return (rows.select("doc_id", "text_key", "n_shingles", "digest")
+            .join(by_class, F.col("digest") == F.col("of"), "left")
+            .select("doc_id", "text_key", "n_shingles", own.alias("component_id"),
+                    F.col("doc_id").eqNullSafe(own).alias("kept")))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component: its smallest doc_id; columns stay.
+
+    Rows without words are linked with nothing and all stay. Of rows with a
+    null doc_id each different text stays, unless it belongs to a component
+    with an id.
+    """
+    found = near_duplicates(docs, **options).where("kept").select("doc_id", "text_key", "n_shingles", "component_id")
+    alone = F.when(F.col("component_id").isNull(), F.col("text_key")).alias("alone")
+    worded = found.where("n_shingles > 0").groupBy("component_id", alone).agg(F.min("text_key").alias("text_key"))
+    stay = (worded.select(F.col("component_id").alias("__of"), F.col("text_key").alias("__key"), F.lit(True).alias("__once"))
+            .union(found.where("n_shingles = 0").select("doc_id", "text_key", F.lit(False)).distinct()))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+    kept = docs.join(stay, own)
+    # a row that is repeated as a whole stays once; their number is that of the repeats, not of the copies
+    once = kept.where("__once").dropDuplicates(["__of", "__key"])
+    return once.unionByName(kept.where("NOT __once")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from bourse.llm import chat, decontam, lines, minhash, packing, quality, rules, toxicity, warc
 from bourse.llm import license as licenses
 from bourse.llm.sampling import remainder
@@ -66,7 +67,7 @@ FROM e GROUP BY conv_id
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.85).drop("text_key")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +132,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
     "op3_minhash_near_dedup": (op3_minhash_near_dedup, None),
