@@ -7,6 +7,7 @@ fills in settings that are not set yet, so cluster values always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -56,8 +57,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's value is used as is. Only when nothing is set (local
-    tests) a fresh private folder is created and registered.
+    The cluster's value is used as is. When nothing is set, a session on a
+    local master gets a fresh private folder; any other master is an error,
+    since executors cannot see a folder of the driver's machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -66,6 +68,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="bourse-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -75,7 +79,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the shared checkpoint folder.
 
     Used for written intermediate tables (landed files, store versions)
-    so that every executor and a restarted job can read them.
+    so that every executor and a restarted job can read them. A lazy result
+    reads them later, so they stay until ``remove_scratch`` is called.
     """
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/bourse/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove every folder that ``scratch_path`` named, once no result needs them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/bourse")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
