@@ -27,14 +27,13 @@ def md5_key(key: Column | str, seed: int | str) -> Column:
 
 
 def ordered_rank(df: DataFrame, order: list[Column | str], by: list[str] | None = None,
-                 name: str = "rank", small_groups: bool = False,
-                 partitions: int | None = None, size_name: str | None = None) -> DataFrame:
+                 name: str = "rank", partitions: int | None = None,
+                 size_name: str | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row by ``order`` within ``by``.
 
     ``order`` must be a total order (unique tie-breaker) for exact results.
-    ``small_groups`` states that ``by`` has a fixed small number of values
-    (e.g. class labels), which lets the offset table be broadcast; without
-    ``by`` the offset table has one row per partition and is always broadcast.
+    Without ``by`` the offset table has one row per partition and is broadcast;
+    with ``by`` Spark decides by its size.
     ``size_name`` also attaches the group's row count (no extra pass).
     """
     by = list(by or [])
@@ -51,7 +50,7 @@ def ordered_rank(df: DataFrame, order: list[Column | str], by: list[str] | None
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))) \
         .withColumn("_gsize", F.sum("_n").over(Window.partitionBy(*by))).drop("_n")
-    if not by or small_groups:
+    if not by:
         offsets = F.broadcast(offsets)
     out = keyed.join(offsets, ["_pid", *by])
     out = out.withColumn(name, F.col("_before") + F.col("_mid") - F.col("_first") + 1)
@@ -61,11 +60,10 @@ def ordered_rank(df: DataFrame, order: list[Column | str], by: list[str] | None
 
 
 def exact_split(df: DataFrame, key: str, seed: int, fraction: float, by: list[str] | None = None,
-                small_groups: bool = True, name: str = "split") -> DataFrame:
+                name: str = "split") -> DataFrame:
     """PRE-1 / PRE-2: the first ``int(n * fraction)`` rows (per ``by`` group) in
     md5 order are 'train', the rest 'test'."""
-    ranked = ordered_rank(df, [md5_key(key, seed), F.col(key)], by, "_r", small_groups=small_groups,
-                          size_name="_size")
+    ranked = ordered_rank(df, [md5_key(key, seed), F.col(key)], by, "_r", size_name="_size")
     cut = F.floor(F.col("_size") * F.lit(fraction))
     return ranked.withColumn(name, F.when(F.col("_r") <= cut, "train").otherwise("test")).drop("_r", "_size")
 

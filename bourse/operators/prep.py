@@ -19,6 +19,9 @@ from bourse.operators.ordering import md5_key, ordered_rank
 from bourse.operators.profile import exact_quantiles, long_values
 
 
+MAX_CATEGORIES = 1000  # of a column that becomes literal expressions
+
+
 def safe_name(v: str) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", v)
 
@@ -29,13 +32,16 @@ def fit_medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
     return {r["column"]: r["quantile"] for r in q}
 
 
-def fit_modes(train: DataFrame, columns: list[str]) -> dict[str, str]:
+def modes(train: DataFrame, columns: list[str]) -> DataFrame:
     """PRE-6: most frequent value per column (ties: smallest)."""
     long = long_values(train, columns, cast="string")
     per = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy("column").agg(
+    return per.groupBy("column").agg(
         F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("mode"))
-    return {r["column"]: r["mode"] for r in top.collect()}
+
+
+def fit_modes(train: DataFrame, columns: list[str]) -> dict[str, str]:
+    return {r["column"]: r["mode"] for r in modes(train, columns).collect()}
 
 
 def impute(df: DataFrame, values: dict) -> DataFrame:
@@ -53,9 +59,25 @@ def scale(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in params.items()})
 
 
-def fit_categories(train: DataFrame, column: str) -> list[str]:
-    """Sorted distinct training values (bounded: a category column)."""
-    return [r[0] for r in train.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+def fit_categories(train: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list[str]:
+    """Sorted distinct training values; more than ``most`` of them are an error."""
+    return fit_category_columns(train, [column], most)[1][column]
+
+
+def fit_category_columns(train: DataFrame, columns: list[str], most: int = MAX_CATEGORIES
+                         ) -> tuple[dict[str, str], dict[str, list[str]]]:
+    """Mode and sorted values of every category column, from one table of counts."""
+    long = long_values(train, columns, cast="string")
+    per = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = per.limit(len(columns) * most + 1).collect()
+    values: dict[str, list] = {c: [] for c in columns}
+    for r in rows:
+        values[r["column"]].append((-r["n"], r["value"]))
+    over = [c for c, v in values.items() if len(v) > most]
+    if over or len(rows) > len(columns) * most:
+        raise ValueError(f"more than {most} categories in {over or columns}; encode such columns another way")
+    modes = {c: min(v)[1] for c, v in values.items() if v}
+    return modes, {c: sorted(x for _, x in v) for c, v in values.items()}
 
 
 def one_hot(df: DataFrame, column: str, categories: list[str], drop_first: bool = True) -> DataFrame:
@@ -94,9 +116,8 @@ def fit_transformer(train: DataFrame, spec: TabularSpec) -> TabularFit:
     medians = fit_medians(train, spec.numeric)
     imputed = impute(train, medians)
     scaler = fit_scaler(imputed, spec.numeric)
-    modes = fit_modes(train, spec.one_hot + spec.auto_ordinal)
-    filled = impute(train, modes)
-    cats = {c: fit_categories(filled, c) for c in spec.one_hot + spec.auto_ordinal}
+    # filling in the mode adds no category
+    modes, cats = fit_category_columns(train, spec.one_hot + spec.auto_ordinal)
     return TabularFit(medians, scaler, modes, cats)
 
 
@@ -123,12 +144,12 @@ def feature_names(spec: TabularSpec, fit: TabularFit) -> list[str]:
 # ---------------------------------------------------------------- resampling
 def stratified_folds(df: DataFrame, key: str, label: str, seed: int, k: int = 5) -> DataFrame:
     """WIN-5: fold = (rank within class in md5 order - 1) mod k."""
-    r = ordered_rank(df, [md5_key(key, seed), F.col(key)], [label], "_r", small_groups=True)
+    r = ordered_rank(df, [md5_key(key, seed), F.col(key)], [label], "_r")
     return r.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
 def random_undersample(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
     """PRE-12: keep, per class, the first (smallest class size) rows in md5 order."""
-    r = ordered_rank(df, [md5_key(key, seed), F.col(key)], [label], "_r", small_groups=True, size_name="_n")
+    r = ordered_rank(df, [md5_key(key, seed), F.col(key)], [label], "_r", size_name="_n")
     smallest = r.groupBy(label).agg(F.max("_n").alias("_n")).agg(F.min("_n")).first()[0]
     return r.where(F.col("_r") <= F.lit(smallest)).drop("_r", "_n")

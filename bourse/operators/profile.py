@@ -1,19 +1,17 @@
 """Profiling of a table: describe, value counts, histograms, box stats, correlation.
 
 Exact quantiles (linear interpolation, as pandas/numpy) are computed from
-distributed exact ranks (:func:`ordered_rank`), not with ``percentile``
-(which buffers every value of a group in one task) nor ``percentile_approx``
-(approximate). Columns are unpivoted to (column, value) so one sort serves all
-numeric columns; the column count is fixed, so per-column tables are small.
+counts per distinct value, not with ``percentile`` (which buffers every value
+of a group in one task) nor ``percentile_approx`` (approximate). Columns are
+unpivoted to (column, value), so one aggregate serves all numeric columns and
+a value that a third of the rows hold is one row with its count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bourse.operators.ordering import ordered_rank
-
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -31,27 +29,36 @@ def exact_quantiles(long: DataFrame, probs: tuple[float, ...] = QUARTILES,
     """Exact interpolated quantiles of ``value`` per (by..., column).
 
     position p = (n - 1) * q; result = v[floor p] + (p - floor p) * (v[ceil p] - v[floor p]).
-    Only the two ranks around each position are kept before the final aggregate.
+
+    1. Count the rows of each distinct value (partial aggregation first).
+    2. Range-partition the distinct values; the sums per partition and group
+       (one row each) give the ranks at which a partition starts.
+    3. Only partitions that hold a wanted rank are summed up value by value.
     """
     groups = [*(by or []), "column"]
-    ranked = ordered_rank(long, [F.col("value")], groups, "_r", small_groups=True, size_name="_n")
-    parts = []
-    for q in probs:
-        pos = (F.col("_n") - 1) * F.lit(q)
-        lo = F.floor(pos) + 1
-        hi = F.ceil(pos) + 1
-        frac = pos - F.floor(pos)
-        sel = ranked.where((F.col("_r") == lo) | (F.col("_r") == hi)).select(
-            *groups, F.lit(q).alias("q"), frac.alias("_f"),
-            F.when(F.col("_r") == lo, F.col("value")).alias("_lo"),
-            F.when(F.col("_r") == hi, F.col("value")).alias("_hi"))
-        parts.append(sel)
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    agg = u.groupBy(*groups, "q").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
-                                      F.max("_f").alias("_f"))
-    return agg.select(*groups, "q", (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
+    n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = long.groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("_c"))
+    # the partition tags are fixed in the shared checkpoint folder
+    keyed = counts.repartitionByRange(n, *groups, "value").withColumn("_pid", F.spark_partition_id()).checkpoint()
+    sums = keyed.groupBy("_pid", *groups).agg(F.sum("_c").alias("_s"))
+    earlier = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0))) \
+        .withColumn("_n", F.sum("_s").over(Window.partitionBy(*groups)))
+    wanted = starts.withColumn("q", F.explode(F.array(*[F.lit(q) for q in probs])))
+    pos = (F.col("_n") - 1) * F.col("q")
+    wanted = wanted.withColumn("_lo", F.floor(pos) + 1).withColumn("_hi", F.ceil(pos) + 1) \
+        .withColumn("_f", pos - F.floor(pos))
+    wanted = wanted.where(((F.col("_lo") > F.col("_before")) & (F.col("_lo") <= F.col("_before") + F.col("_s")))
+                          | ((F.col("_hi") > F.col("_before")) & (F.col("_hi") <= F.col("_before") + F.col("_s"))))
+    found = keyed.join(wanted, ["_pid", *groups])
+    upto = Window.partitionBy("_pid", *groups, "q").orderBy("value")
+    found = found.withColumn("_to", F.col("_before") + F.sum("_c").over(upto))
+
+    def at(rank: str):
+        return F.max(F.when((F.col(rank) <= F.col("_to")) & (F.col(rank) > F.col("_to") - F.col("_c")), F.col("value")))
+
+    agg = found.groupBy(*groups, "q").agg(at("_lo").alias("_a"), at("_hi").alias("_b"), F.max("_f").alias("_f"))
+    return agg.select(*groups, "q", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("quantile"))
 
 
 def describe_numeric(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
@@ -127,7 +134,7 @@ def box_stats(df: DataFrame, columns: list[str], label: str, digits: int = 6) ->
     qs = qs.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lower", F.col("q1") - 1.5 * F.col("iqr")) \
         .withColumn("upper", F.col("q3") + 1.5 * F.col("iqr"))
-    j = long.join(F.broadcast(qs), [label, "column"])  # classes x columns rows
+    j = long.join(qs, [label, "column"])  # a row per class and column: broadcast under Spark's own limit
     out = j.groupBy(label, "column").agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.first("lower").alias("lower"), F.first("upper").alias("upper"),
@@ -144,7 +151,3 @@ def abs_correlation(df: DataFrame, columns: list[str], digits: int = 6) -> DataF
     parts = F.split("pair", r"\|")
     return long.select(parts[0].alias("a"), parts[1].alias("b"), F.round(F.abs("r"), digits).alias("abs_r"))
 
-
-def absolute(c: Column) -> Column:
-    """SCA-14."""
-    return F.abs(c)

@@ -245,13 +245,7 @@ def q_impute_median(spark: SparkSession, sf: str) -> DataFrame:
 def q_impute_mode(spark: SparkSession, sf: str) -> DataFrame:
     """PRE-6: most frequent training value (ties: smallest)."""
     tr = _split(spark, sf).where(F.col("split") == "train")
-    modes = PR.fit_modes(tr, ["region", "age_like"])
-    long = PF.long_values(tr, ["region", "age_like"], cast="string")
-    per = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    out = per.groupBy("column").agg(
-        F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("mode"))
-    assert {r["column"]: r["mode"] for r in out.collect()} == modes
-    return out
+    return PR.modes(tr, ["region", "age_like"])
 
 
 @register("impute_constant", W(
