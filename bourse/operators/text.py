@@ -7,9 +7,7 @@ longest common subsequence per pair; that is a per-row computation done in
 an Arrow-batched pandas UDF with a bit-parallel LCS (word-length bit vectors
 as Python integers: O(len(a) * len(b) / 64) per pair, whole texts).
 
-The extractive summary scores sentences by TF-IDF weight. The join of
-tokens to document frequencies is salted: a very common term (one key with
-a large share of all tokens) is spread over ``salt`` tasks instead of one.
+The extractive summary scores sentences by TF-IDF weight.
 """
 
 from __future__ import annotations
@@ -19,17 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bourse.sources.tables import spread_small_input
-
 # Fixed values of the text jobs.
 TASK_PREFIX = "summarize: "
 MAX_INPUT_TOKENS = 512
 MAX_TARGET_TOKENS = 128
 SUMMARY_MAX_TOKENS = 80
 SUMMARY_MIN_TOKENS = 55
-# Largest vocabulary (terms) broadcast to every task (~ tens of MB); above it
-# the token-weight join is a salted shuffle join.
-BROADCAST_TERMS = 2_000_000
 ASCII_TOKEN_SPLIT = "[^a-z0-9]+"
 UNICODE_TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -152,24 +145,16 @@ def sentences(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> D
     return docs.select(key, F.posexplode(parts).alias("pos", "sentence"))
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, salt_from: Column, salts: int) -> DataFrame:
-    """Equi-join that spreads every key of ``big`` over ``salts`` tasks; ``small``
-    (one row per key) is replicated ``salts`` times."""
-    b = big.withColumn("_salt", F.pmod(F.hash(salt_from), F.lit(salts)))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(s, [on, "_salt"]).drop("_salt")
-
-
 def extractive_summary(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
-                       max_tokens: int = SUMMARY_MAX_TOKENS, salts: int = 16) -> DataFrame:
+                       max_tokens: int = SUMMARY_MAX_TOKENS, min_tokens: int = SUMMARY_MIN_TOKENS) -> DataFrame:
     """MOD-7: best sentences by mean TF-IDF weight, in text order, within a word budget.
 
     weight(term) = ln((N + 1) / (df + 1)); sentence score = mean weight of its
     tokens (rounded to 9 digits so equal sentences tie exactly); rank by
-    score, then position; keep while the running token count <= max_tokens
-    (the best sentence always). Returns doc_id, summary, tokens, sentences.
+    score, then position; keep while the running token count <= max_tokens, or
+    while the summary before it is shorter than min_tokens (so the best
+    sentence always stays). Returns doc_id, summary, tokens, sentences.
     """
-    docs = spread_small_input(docs)
     sents = sentences(docs, key, text_col).withColumn("tokens", tokenize_unicode(F.col("sentence")))
     toks = sents.select(key, "pos", F.posexplode("tokens").alias("tpos", "term"))
     n_docs = docs.select(key).distinct().count()
@@ -179,20 +164,15 @@ def extractive_summary(docs: DataFrame, key: str = "doc_id", text_col: str = "te
     df_ = docs.select(F.explode(F.array_distinct(tokenize_unicode(F.col(text_col)))).alias("term")) \
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = df_.select("term", F.log((F.lit(n_docs + 1.0)) / (F.col("df") + 1.0)).alias("w"))
-    # The vocabulary is read by the size check and the join: materialise it.
-    weights = weights.checkpoint(eager=True)
-    if weights.count() <= BROADCAST_TERMS:
-        # Checked size: every task joins its tokens locally; only per-sentence
-        # partial averages are shuffled.
-        tw = toks.join(F.broadcast(weights), "term")
-    else:
-        tw = salted_join(toks, weights, "term", F.struct(key, "pos", "tpos"), salts)
+    # Spark broadcasts the vocabulary only under its own byte limit; else a
+    # very common term is split by AQE's skew join.
+    tw = toks.join(weights, "term")
     scores = tw.groupBy(key, "pos").agg(F.round(F.avg("w"), 9).alias("score"))
     s = sents.join(scores, [key, "pos"], "left").withColumn("n_tok", F.size("tokens"))
     w = Window.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), F.col("pos"))
     ranked = s.withColumn("rank", F.row_number().over(w)) \
         .withColumn("cum", F.sum("n_tok").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    kept = ranked.where((F.col("cum") <= max_tokens) | (F.col("rank") == 1))
+    kept = ranked.where((F.col("cum") <= max_tokens) | (F.col("cum") - F.col("n_tok") < min_tokens))
     out = kept.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("_s"),
         F.sum("n_tok").alias("summary_tokens"), F.count(F.lit(1)).alias("summary_sentences"))

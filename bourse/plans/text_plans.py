@@ -89,6 +89,16 @@ def q_truncate_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(cut).alias("n_input"), cut.alias("input_tokens"))
 
 
+@register("truncate_targets", W(
+    f"SELECT conv_id, turn, len({_tok_sql('reference_text')}) AS n_tokens, "
+    f"({_tok_sql('reference_text')})[1:{TX.MAX_TARGET_TOKENS}] AS target_tokens FROM pairs", "pairs"))
+def q_truncate_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """SCA-10: summary target = first 128 word tokens of the reference text."""
+    t = X.pairs(spark, sf).select(*KEYS, TX.tokenize_words(F.col("reference_text")).alias("t"))
+    return t.select(*KEYS, F.size("t").alias("n_tokens"),
+                    TX.truncate_tokens(F.col("t"), TX.MAX_TARGET_TOKENS).alias("target_tokens"))
+
+
 @register("map_batches", W(
     f"SELECT doc_id, CAST(len({_tok_sql('text')}) AS BIGINT) AS n_tokens, "
     f"CAST(len(list_distinct({_tok_sql('text')})) AS BIGINT) AS n_distinct FROM documents"))
@@ -115,12 +125,13 @@ _SUMMARY_SQL = (
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum "
     "FROM st LEFT JOIN sc ON st.doc_id = sc.doc_id AND st.pos = sc.pos) "
     "SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary, sum(n_tok) AS summary_tokens, "
-    f"count(*) AS summary_sentences FROM r WHERE cum <= {TX.SUMMARY_MAX_TOKENS} OR rk = 1 GROUP BY doc_id")
+    f"count(*) AS summary_sentences FROM r WHERE cum <= {TX.SUMMARY_MAX_TOKENS} "
+    f"OR cum - n_tok < {TX.SUMMARY_MIN_TOKENS} GROUP BY doc_id")
 
 
 @register("extractive_summary", _SUMMARY_SQL)
 def q_extractive_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """MOD-7: TF-IDF extractive summary of every whole document (<= 80 words)."""
+    """MOD-7: TF-IDF extractive summary of every whole document (55 to 80 words where sentences allow)."""
     return TX.extractive_summary(table(spark, sf, "documents"))
 
 
