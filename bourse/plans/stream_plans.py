@@ -12,18 +12,17 @@ from bourse.sources import fixtures as X
 from bourse.sources.fixtures import oracle_with as W
 from bourse.streaming import streams as ST
 
-_NEWS_AB = ("u AS (SELECT * FROM news WHERE published_at IS NULL OR published_at < TIMESTAMP '2024-01-20' "
-            "UNION ALL SELECT * FROM news WHERE published_at >= TIMESTAMP '2024-01-15')")
+# Two lists that overlap in a third of the items, whatever their dates.
+_NEWS_AB = ("u AS (SELECT * FROM news WHERE doc_id % 3 <> 0 UNION ALL SELECT * FROM news WHERE doc_id % 3 <> 1)")
+FILES_PER_BATCH = 1
 
 
 def _land_news(spark: SparkSession, sf: str) -> str:
     """Two overlapping result lists landed as JSON files in one folder."""
     n = X.news(spark, sf)
     landing = scratch_path(spark, "news-landing")
-    a = n.where(F.col("published_at").isNull() | (F.col("published_at") < F.lit("2024-01-20").cast("timestamp_ntz")))
-    b = n.where(F.col("published_at") >= F.lit("2024-01-15").cast("timestamp_ntz"))
-    for part in (a, b):
-        (part.write.mode("append").option("timestampNTZFormat", S.TS_FORMAT)
+    for left_out in (0, 1):
+        (n.where(F.col("doc_id") % 3 != left_out).write.mode("append").option("timestampNTZFormat", S.TS_FORMAT)
          .option("timestampFormat", S.TS_FORMAT).json(landing))
     return landing
 
@@ -34,29 +33,33 @@ def _land_news(spark: SparkSession, sf: str) -> str:
     "FROM (SELECT * FROM bars_base UNION ALL SELECT * FROM bars_delta)) WHERE rn = 1",
     "bars_base", "bars_delta"))
 def q_stream_upsert_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-1: bar batches landed as files, upserted micro-batch by micro-batch."""
-    landing = scratch_path(spark, "bars-landing")
+    """STR-1: two landings of bar files, upserted micro-batch by micro-batch, compacted in between."""
+    landing, out = scratch_path(spark, "bars-landing"), scratch_path(spark, "bars-stream-out")
+    progress, compacted = scratch_path(spark, "bars-stream-ckpt"), scratch_path(spark, "bars-compacted")
+    upto = -1
     for part in (X.bars_base(spark, sf), X.bars_delta(spark, sf)):
         part.withColumn("batch", F.col("batch").cast("int")).write.mode("append").parquet(landing)
-    return ST.stream_upsert_bars(spark, landing, scratch_path(spark, "bars-stream-out"),
-                                 scratch_path(spark, "bars-stream-ckpt"))
+        ST.stream_upsert_bars(spark, landing, out, progress, files_per_batch=FILES_PER_BATCH)
+        if upto < 0:
+            upto = ST.compact_upserted_bars(spark, out, compacted)
+    return ST.read_upserted_bars(spark, out, compacted, upto)
 
 
 @register("stream_news_mood", W(
-    f"WITH {_NEWS_AB} SELECT symbol, CAST(date_trunc('day', published_at) AS DATE) AS day, "
+    f"WITH {_NEWS_AB} SELECT symbol, CAST(published_at AS DATE) AS day, "
     "round(coalesce(avg(CASE label WHEN 'Positive' THEN 1 WHEN 'Neutral' THEN 0 WHEN 'Negative' THEN -1 END), 0), 6) "
-    "AS mood, count(*) AS items FROM u WHERE published_at IS NOT NULL GROUP BY 1, 2", "news"))
+    "AS mood, count(*) AS items FROM u GROUP BY 1, 2", "news"))
 def q_stream_news_mood(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-2: daily mood per symbol from a news file stream (watermarked windows)."""
-    landing = _land_news(spark, sf)
-    return ST.stream_news_mood(spark, landing, scratch_path(spark, "mood-stream-out"),
-                               scratch_path(spark, "mood-stream-ckpt"))
+    """STR-2: daily mood per symbol from a news file stream, undated items included."""
+    return ST.stream_news_mood(spark, _land_news(spark, sf), scratch_path(spark, "mood-stream-out"),
+                               scratch_path(spark, "mood-stream-ckpt"), FILES_PER_BATCH)
 
 
 @register("stream_first_seen_news", W(
-    f"WITH {_NEWS_AB} SELECT DISTINCT link FROM u WHERE published_at IS NOT NULL", "news"))
+    f"WITH {_NEWS_AB}, r AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY published_at IS NULL, "
+    "published_at, doc_id) AS rn FROM u) SELECT link, doc_id, symbol, title, published_at FROM r WHERE rn = 1", "news"))
 def q_stream_first_seen_news(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-3: every link once, deduplicated within the watermark."""
-    landing = _land_news(spark, sf)
-    return ST.stream_first_seen_news(spark, landing, scratch_path(spark, "seen-stream-out"),
-                                     scratch_path(spark, "seen-stream-ckpt")).select("link")
+    """STR-3: every link once, with the item that is kept."""
+    return ST.stream_first_seen_news(spark, _land_news(spark, sf), scratch_path(spark, "seen-stream-out"),
+                                     scratch_path(spark, "seen-stream-ckpt"), FILES_PER_BATCH).select(
+        "link", "doc_id", "symbol", "title", "published_at")

@@ -5,7 +5,8 @@ what is there, then stop) and keep their progress in a checkpoint folder
 below the shared ``spark.checkpoint.dir``, so a restarted job continues
 where it stopped. Sinks are idempotent per micro-batch: a batch writes to
 its own ``batch_id=N`` folder with overwrite, so a replayed batch replaces
-its earlier output instead of adding to it.
+its earlier output instead of adding to it. What a batch lands is reduced
+(partial sums, one row per key), and reading reduces it once more.
 """
 
 from __future__ import annotations
@@ -60,8 +61,12 @@ def stream_upsert_bars(spark: SparkSession, landing: str, out: str, checkpoint:
     return read_upserted_bars(spark, out)
 
 
-def read_upserted_bars(spark: SparkSession, out: str) -> DataFrame:
+def read_upserted_bars(spark: SparkSession, out: str, compacted: str | None = None, upto: int = -1) -> DataFrame:
+    """Last row per (symbol, trade_date): the compacted store, if any, and the later micro-batches."""
     landed = spark.read.parquet(out)
+    if compacted is not None:
+        # folders up to ``upto`` are pruned by their partition value
+        landed = landed.where(F.col("batch_id") > upto).unionByName(spark.read.parquet(compacted))
     rest = [c for c in landed.columns if c not in ("symbol", "trade_date")]
     agg = landed.groupBy("symbol", "trade_date").agg(
         F.max_by(F.struct(*rest), F.struct("batch", "batch_id")).alias("_l"))
@@ -69,50 +74,69 @@ def read_upserted_bars(spark: SparkSession, out: str) -> DataFrame:
         .drop("batch_id", "micro_batch")
 
 
-def _news_stream(spark: SparkSession, landing: str) -> DataFrame:
-    """News items; ``event_time`` = published_at as TIMESTAMP (watermarks need
-    a time-zone aware type; the session zone is UTC)."""
-    src = (spark.readStream.schema(NEWS_ITEM_SCHEMA).option("timestampNTZFormat", TS_FORMAT)
-           .option("timestampFormat", TS_FORMAT).json(landing))
-    return src.withColumn("event_time", F.col("published_at").cast("timestamp"))
+def compact_upserted_bars(spark: SparkSession, out: str, compacted: str) -> int:
+    """Write the store as it stands to ``compacted``; returns the last micro-batch in it.
 
+    Later reads take the compacted rows and only newer micro-batches.
+    """
+    landed = spark.read.parquet(out)
+    upto = landed.agg(F.max("batch_id")).first()[0]
+    rest = [c for c in landed.columns if c not in ("symbol", "trade_date")]
+    last = landed.groupBy("symbol", "trade_date").agg(F.max_by(F.struct(*rest), F.struct("batch", "batch_id")).alias("_l"))
+    last.select("symbol", "trade_date", *[F.col(f"_l.{c}").alias(c) for c in rest]).write.mode("overwrite").parquet(compacted)
+    return upto
 
-def stream_news_mood(spark: SparkSession, landing: str, out: str, checkpoint: str,
-                     watermark: str = "1 day") -> DataFrame:
-    """STR-2: mood per symbol and calendar day of publication.
 
-    ``update`` mode emits every changed (window, symbol) row; the watermark
-    lets Spark drop the state of closed days. The final table is the last
-    emitted row per key.
-    """
-    src = _news_stream(spark, landing).where(F.col("event_time").isNotNull())
-    agg = (src.withWatermark("event_time", watermark)
-           .groupBy(F.window("event_time", "1 day").alias("w"), "symbol")
-           .agg(F.avg(label_score(F.col("label"))).alias("mood_raw"), F.count(F.lit(1)).alias("items")))
+def _news_stream(spark: SparkSession, landing: str, files_per_batch: int | None) -> DataFrame:
+    reader = (spark.readStream.schema(NEWS_ITEM_SCHEMA).option("timestampNTZFormat", TS_FORMAT)
+              .option("timestampFormat", TS_FORMAT))
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(landing)
+
 
+def _drain(src: DataFrame, reduce, out: str, checkpoint: str) -> None:
+    """Write ``reduce`` of every micro-batch to its own folder."""
     def sink(df: DataFrame, batch_id: int) -> None:
-        df.select(F.col("w.start").alias("day_start"), "symbol", "mood_raw", "items") \
-            .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        reduce(df).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    _run(agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    _run(src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    landed = spark.read.parquet(out)
-    last = landed.groupBy("day_start", "symbol").agg(
-        F.max_by(F.struct("mood_raw", "items"), "batch_id").alias("_l"))
-    return last.select("symbol", F.col("day_start").cast("date").alias("day"),
-                       F.round(F.coalesce(F.col("_l.mood_raw"), F.lit(0.0)), 6).alias("mood"),
-                       F.col("_l.items").alias("items"))
 
 
-def stream_first_seen_news(spark: SparkSession, landing: str, out: str, checkpoint: str,
-                           watermark: str = "30 days") -> DataFrame:
-    """STR-3: each link once - the first time it is seen within the watermark."""
-    src = _news_stream(spark, landing).where(F.col("event_time").isNotNull())
-    firsts = src.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["link"])
+def stream_news_mood(spark: SparkSession, landing: str, out: str, checkpoint: str,
+                     files_per_batch: int | None = None) -> DataFrame:
+    """STR-2: mood per symbol and calendar day of publication (day NULL: undated items).
 
-    def sink(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    Each micro-batch lands its sums per (symbol, day); the mood is their sum
+    over all batches. Sums add up in any order, so late and undated items
+    count like any other and nothing is dropped by a watermark.
+    """
+    def sums(df: DataFrame) -> DataFrame:
+        score = label_score(F.col("label"))
+        return df.groupBy("symbol", F.col("published_at").cast("date").alias("day")).agg(
+            F.sum(score).alias("total"), F.count(score).alias("scored"), F.count(F.lit(1)).alias("items"))
 
-    _run(firsts.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    return spark.read.parquet(out).drop("batch_id", "event_time")
+    _drain(_news_stream(spark, landing, files_per_batch), sums, out, checkpoint)
+    all_ = spark.read.parquet(out).groupBy("symbol", "day").agg(
+        F.sum("total").alias("total"), F.sum("scored").alias("scored"), F.sum("items").alias("items"))
+    mood = F.coalesce(F.try_divide(F.col("total"), F.col("scored")), F.lit(0.0))
+    return all_.select("symbol", "day", F.round(mood, 6).alias("mood"), "items")
+
+
+def stream_first_seen_news(spark: SparkSession, landing: str, out: str, checkpoint: str,
+                           files_per_batch: int | None = None) -> DataFrame:
+    """STR-3: each link once, with its earliest item (undated last, then doc_id).
+
+    A micro-batch lands one item per link; the same minimum over all batches
+    gives the item, whichever batch brought it. Items without a link count as
+    one link.
+    """
+    def first(df: DataFrame) -> DataFrame:
+        rest = [c for c in NEWS_ITEM_SCHEMA.names if c != "link"]
+        order = F.struct(F.col("published_at").isNull(), "published_at", "doc_id")
+        agg = df.groupBy("link").agg(F.min_by(F.struct(*rest), order).alias("_f"))
+        return agg.select("link", *[F.col(f"_f.{c}").alias(c) for c in rest])
+
+    _drain(_news_stream(spark, landing, files_per_batch), first, out, checkpoint)
+    return first(spark.read.parquet(out))
