@@ -205,8 +205,9 @@ def append_forecast(insample: DataFrame, future: DataFrame) -> DataFrame:
 
 
 def chart_series(forecast: DataFrame) -> DataFrame:
-    """SNK-6: long series (metric, kind, Date, value); True values without forecast rows."""
-    cols = [f"{k}_{t}" for t in TARGETS for k in ("True", "Pred")]
+    """SNK-6: long series (metric, kind, Date, value) of the prices (no volume);
+    True values without forecast rows."""
+    cols = [f"{k}_{t}" for t in TARGETS if t != "Volume" for k in ("True", "Pred")]
     long = forecast.unpivot(["symbol", "Date", "is_forecast"], cols, "series", "value")
     parts = F.split(F.col("series"), "_")
     out = long.select("symbol", "Date", "is_forecast", parts[1].alias("metric"), parts[0].alias("kind"), "value")

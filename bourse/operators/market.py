@@ -19,17 +19,14 @@ from pyspark.sql import functions as F
 
 from bourse.functions.dates import next_business_day
 
-BAR_COLUMNS = ["CH_TIMESTAMP", "CH_SYMBOL", "CH_SERIES", "CH_TRADE_HIGH_PRICE",
-               "CH_TRADE_LOW_PRICE", "CH_OPENING_PRICE", "CH_CLOSING_PRICE",
-               "CH_TOT_TRADED_QTY", "CH_TOT_TRADED_VAL"]
 QUOTE_COLUMNS = ["symbol", "open", "day_high", "day_low", "last_price", "total_traded_volume",
                  "total_traded_value", "p_change", "year_high", "year_low"]
-TARGETS = ["Open", "Close", "High", "Low", "Volume"]
 
 
 # ---------------------------------------------------------------- projections
 def select_bar_columns(bars: DataFrame, series: str = "EQ") -> DataFrame:
     """PRJ-1: the nine exchange bar columns, in the exchange's order."""
+    # The exchange's column names.
     return bars.select(
         F.col("trade_date").alias("CH_TIMESTAMP"),
         F.col("symbol").alias("CH_SYMBOL"),
@@ -218,7 +215,9 @@ def missing_date_ranges(bars: DataFrame, symbols: DataFrame, end: str, days: int
     """
     end_c = F.lit(end).cast("date")
     cal = symbols.select("symbol", F.explode(F.sequence(F.date_sub(end_c, days - 1), end_c)).alias("trade_date"))
-    have = bars.select("symbol", "trade_date")
+    # only the asked range of the store is read (the filter reaches the scan)
+    have = bars.where((F.col("trade_date") > F.date_sub(end_c, days)) & (F.col("trade_date") <= end_c)) \
+        .select("symbol", "trade_date")
     missing = cal.join(have, ["symbol", "trade_date"], "left_anti")
     w = Window.partitionBy("symbol").orderBy("trade_date")
     runs = missing.withColumn("grp", F.date_sub(F.col("trade_date"), F.row_number().over(w)))
@@ -259,7 +258,7 @@ def upsert_bars(store: DataFrame, delta: DataFrame, keys: tuple[str, ...] = ("sy
     """SNK-1 (logical part): union the batch into the store, last arrival wins.
 
     An empty delta leaves the store unchanged (Q2); duplicates are always
-    removed (Q3). Writing is done by :func:`bourse.sources.store.write_bar_store`.
+    removed (Q3). ``bourse.sources.files.upsert_bar_store`` writes it.
     """
     both = store.unionByName(delta.select(*store.columns))
     return keep_last_per_key(both, list(keys), order_col)

@@ -187,7 +187,7 @@ _CHART_SQL = W(
     + " UNION ALL ".join(
         f"SELECT symbol, Date, '{t}' AS metric, '{k}' AS kind, round({k}_{t}, 6) AS value FROM fc"
         + (" WHERE NOT is_forecast" if k == "True" else "")
-        for t in T for k in ("True", "Pred")), "training_bars")
+        for t in T if t != "Volume" for k in ("True", "Pred")), "training_bars")
 
 
 @register("chart_series", _CHART_SQL)
@@ -197,6 +197,33 @@ def q_chart_series(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("value", F.round("value", 6))
 
 
+REPLY_DAYS = 100
+_WINDOW_SQL = ("win AS (SELECT b.* FROM training_bars b JOIN (SELECT symbol, max(trade_date) AS last_date FROM training_bars "
+               f"GROUP BY symbol) e ON b.symbol = e.symbol WHERE b.trade_date > e.last_date - INTERVAL {REPLY_DAYS} DAY)")
+
+
+@register("projection_reply", W(
+    f"WITH RECURSIVE {_WINDOW_SQL}, {_FEAT_SQL.replace('FROM training_bars', 'FROM win')}, {_INS_SQL}, {_STEPS_SQL}, "
+    f"{_FORECAST_SQL}, score AS ({_r2_sql('ins', 'symbol')}), chart AS ("
+    + " UNION ALL ".join(
+        f"SELECT symbol, Date, '{t}' AS metric, '{k}' AS kind, round({k}_{t}, 6) AS value FROM fc"
+        + (" WHERE NOT is_forecast" if k == "True" else "")
+        for t in T if t != "Volume" for k in ("True", "Pred"))
+    + ") SELECT c.symbol, s.r2 AS score, c.metric, c.kind, c.Date, c.value FROM chart c JOIN score s ON s.symbol = c.symbol",
+    "training_bars"))
+def q_projection_reply(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT-2 + WIN-1 + WIN-6 + AGG-3 + SNK-6: the last 100 calendar days of every
+    symbol, their lag features, the forecast, and the chart series beside the score."""
+    b = X.training_bars(spark, sf)
+    last = b.groupBy("symbol").agg(F.max("trade_date").alias("last_date"))
+    recent = b.join(last, "symbol").where(F.col("trade_date") > F.date_sub("last_date", REPLY_DAYS)).drop("last_date")
+    model = FC.LagMeanModel(DAY)
+    ins = FC.score_prices(model, FC.lag_features(recent, DAY)).checkpoint()
+    chart = FC.chart_series(FC.append_forecast(ins, FC.recursive_forecast(model, ins, FC.HORIZON, DAY)))
+    score = FC.multi_target_r2(ins, ["symbol"]).select("symbol", F.col("r2").alias("score"))
+    return chart.join(score, "symbol").select("symbol", "score", "metric", "kind", "Date", F.round("value", 6).alias("value"))
+
+
 @register("align_by_position", W(
     f"WITH RECURSIVE {_FEAT_SQL}, {_INS_SQL}, {_STEPS_SQL}, {_FORECAST_SQL}, "
     "t AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY Date) AS pos, "

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bourse.functions.dates import join_date, next_business_day, split_date
+from bourse.operators import forecast as FC
 from bourse.operators import market as M
 from bourse.plans.registry import register
 from bourse.session import scratch_path
@@ -82,7 +83,7 @@ def q_rename_ohlcv(spark: SparkSession, sf: str) -> DataFrame:
 def q_prefix_columns(spark: SparkSession, sf: str) -> DataFrame:
     """PRJ-4: target columns get the ``True_`` prefix."""
     o = M.rename_ohlcv(X.bars(spark, sf)).withColumnRenamed("Date", "trade_date")
-    return M.prefix_columns(o, "True_", M.TARGETS)
+    return M.prefix_columns(o, "True_", FC.TARGETS)
 
 
 @register("drop_columns", W("SELECT symbol, trade_date, open, close FROM bars", "bars"))
@@ -140,10 +141,11 @@ def q_ticker_map_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("bars_in_range", W(
     f"SELECT * FROM bars WHERE trade_date > DATE '{RANGE_END}' - INTERVAL {RANGE_DAYS} DAY "
-    f"AND trade_date <= DATE '{RANGE_END}'", "bars"))
+    f"AND trade_date <= DATE '{RANGE_END}' AND symbol NOT LIKE '%7'", "bars"))
 def q_bars_in_range(spark: SparkSession, sf: str) -> DataFrame:
-    """FLT-2: half-open date range (Q11) over all symbols."""
-    return M.bars_in_range(X.bars(spark, sf), RANGE_END, RANGE_DAYS)
+    """FLT-2: half-open date range (Q11) of one series over all symbols."""
+    series = F.when(F.col("symbol").endswith("7"), "BE").otherwise("EQ")
+    return M.bars_in_range(X.bars(spark, sf).withColumn("series", series), RANGE_END, RANGE_DAYS, "EQ").drop("series")
 
 
 @register("missing_date_ranges", W(
@@ -195,12 +197,10 @@ def q_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     "FROM (SELECT * FROM bars_base UNION ALL SELECT * FROM bars_delta)) WHERE rn = 1",
     "bars_base", "bars_delta"))
 def q_upsert_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-1: write the base store, upsert the delta into a new store version, read it back."""
-    v0 = S.write_bar_store(X.bars_base(spark, sf).drop("batch"), scratch_path(spark, "bars-store-v0"))
-    store = S.read_bar_store(spark, v0).withColumn("batch", F.lit(0))
-    merged = M.upsert_bars(store, X.bars_delta(spark, sf))
-    v1 = S.write_bar_store(merged.drop("batch"), scratch_path(spark, "bars-store-v1"))
-    return S.read_bar_store(spark, v1).select(
+    """SNK-1: write the base store, upsert the delta into the folders it touches, read it back."""
+    store = S.write_yearly_store(X.bars_base(spark, sf).drop("batch"), scratch_path(spark, "bars-store"))
+    S.upsert_yearly_store(spark, store, X.bars_delta(spark, sf))
+    return S.read_yearly_store(spark, store).select(
         "symbol", "trade_date", "high", "low", "open", "close", "volume", "value")
 
 
@@ -274,8 +274,9 @@ def q_scan_symbol_bars(spark: SparkSession, sf: str) -> DataFrame:
 def q_scan_all_bars(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-3: per-symbol CSV files, read and stacked in one scan."""
     b = X.bars(spark, sf).select(*[f.name for f in S.BAR_SCHEMA.fields])
-    path = S.write_csv(b.repartitionByRange("symbol", "trade_date"), scratch_path(spark, "bars-csv"),
-                       partition_by=["symbol"])
+    named = b.withColumn("file", F.concat("symbol", F.lit("_price.csv"))).drop("symbol")
+    path = S.write_csv(named.repartitionByRange("file", "trade_date"), scratch_path(spark, "bars-csv"),
+                       partition_by=["file"])
     return S.scan_all_bars(spark, path)
 
 

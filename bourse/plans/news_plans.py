@@ -166,6 +166,20 @@ def q_news_reply_json(spark: SparkSession, sf: str) -> DataFrame:
     return N.news_reply(items, names)
 
 
+@register("news_reply_predicted", W(
+    f"WITH {_RANKED}, items AS ({_clean_sql(_KEYWORD_LABEL)}), "
+    "mood AS (SELECT symbol, coalesce(avg(CASE label WHEN 'Positive' THEN 1 WHEN 'Neutral' THEN 0 "
+    "WHEN 'Negative' THEN -1 END), 0) AS mood FROM items GROUP BY symbol), "
+    "packed AS (SELECT symbol, list(struct_pack(srno := srno, title := title, date := date, media := media, "
+    "link := link, label := label) ORDER BY rank) AS news FROM items GROUP BY symbol) "
+    "SELECT p.symbol, CAST(to_json(struct_pack(name := p.symbol, mood := round(m.mood, 6), news := p.news)) AS VARCHAR) "
+    "AS reply FROM packed p JOIN mood m ON m.symbol = p.symbol", "news"))
+def q_news_reply_predicted(spark: SparkSession, sf: str) -> DataFrame:
+    """UDF-1 + AGG-2 + SNK-3: the kept headlines labelled first, the mood over these labels, one reply per symbol."""
+    items = N.clean_headlines(_ranked(spark, sf), predictor=N.keyword_label)
+    return N.news_reply(items, items.select("symbol", F.col("symbol").alias("name")).distinct())
+
+
 @register("topic_news", W(
     f"SELECT doc_id, symbol, title, published_at FROM news WHERE length(title) > 30 "
     f"AND contains(lower(title), '{TOPIC}') ORDER BY published_at DESC NULLS LAST, doc_id LIMIT 9", "news"))
@@ -182,21 +196,18 @@ def q_news_newest_first(spark: SparkSession, sf: str) -> DataFrame:
     return N.news_newest_first(X.news(spark, sf)).select("doc_id", "symbol", "published_at")
 
 
-_SCAN_NEWS_END = "2024-01-30 23:59:59"
+SCAN_DAYS = 1  # the given news lie within three days, so this window leaves some out
 
 
 @register("scan_news", W(
-    "WITH a AS (SELECT * FROM news WHERE published_at IS NULL OR published_at < TIMESTAMP '2024-01-20'), "
-    "b AS (SELECT * FROM news WHERE published_at >= TIMESTAMP '2024-01-15'), "
-    "u AS (SELECT * FROM a UNION ALL SELECT * FROM b) "
-    "SELECT doc_id, symbol, title, link, media, published_at, label FROM u WHERE published_at IS NULL OR "
-    f"(published_at > TIMESTAMP '{_SCAN_NEWS_END}' - INTERVAL 30 DAY AND published_at <= TIMESTAMP '{_SCAN_NEWS_END}')",
-    "news"))
+    "WITH u AS (SELECT * FROM news WHERE doc_id % 3 <> 0 UNION ALL SELECT * FROM news WHERE doc_id % 3 <> 1), "
+    "e AS (SELECT max(published_at) AS as_of FROM news) "
+    "SELECT doc_id, symbol, title, link, media, published_at, label FROM u, e WHERE published_at IS NULL OR "
+    f"(published_at > as_of - INTERVAL {SCAN_DAYS} DAY AND published_at <= as_of)", "news"))
 def q_scan_news(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-7: two overlapping landed result lists, unioned, last 30 days, newest first."""
+    """SRC-7: two overlapping landed result lists, unioned, the days before the newest item, newest first."""
     n = X.news(spark, sf)
-    a = n.where(F.col("published_at").isNull() | (F.col("published_at") < F.lit("2024-01-20").cast("timestamp_ntz")))
-    b = n.where(F.col("published_at") >= F.lit("2024-01-15").cast("timestamp_ntz"))
-    pa = S.write_json(a, scratch_path(spark, "news-a"))
-    pb = S.write_json(b, scratch_path(spark, "news-b"))
-    return S.scan_news(spark, [pa, pb], _SCAN_NEWS_END)
+    paths = [S.write_json(n.where(F.col("doc_id") % 3 != left_out), scratch_path(spark, f"news-{left_out}"))
+             for left_out in (0, 1)]
+    as_of = n.agg(F.max("published_at").cast("string")).first()[0]
+    return S.scan_news(spark, paths, as_of, SCAN_DAYS)

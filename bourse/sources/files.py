@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bourse.operators.market import keep_last_per_key
+
 COMPANY_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
     T.StructField("company_name", T.StringType()),
@@ -91,9 +93,13 @@ def scan_companies(spark: SparkSession, path: str) -> DataFrame:
     return scan_csv(spark, path, COMPANY_SCHEMA)
 
 
-def scan_labelled_text(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-5: ``doc_id,text,label`` CSV (multi-line quoted text allowed)."""
-    return scan_csv(spark, path, LABELLED_TEXT_SCHEMA, multiline=True)
+def scan_labelled_text(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """SRC-5: ``doc_id,text,label`` CSV.
+
+    ``multiline`` allows line ends inside quoted text, but makes each file one
+    task; without it files are split.
+    """
+    return scan_csv(spark, path, LABELLED_TEXT_SCHEMA, multiline=multiline)
 
 
 def scan_survey(spark: SparkSession, path: str) -> DataFrame:
@@ -125,6 +131,39 @@ def write_bar_store(bars: DataFrame, path: str, files_per_symbol_hint: int | Non
     return path
 
 
+def _yearly(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("year", F.year("trade_date"))
+
+
+def write_yearly_store(bars: DataFrame, path: str) -> str:
+    """SNK-1 store: bars by symbol and year, newest first inside a file."""
+    n = bars.sparkSession.sparkContext.defaultParallelism
+    (_yearly(bars).repartitionByRange(n, "symbol", "year").sortWithinPartitions("symbol", "year", F.desc("trade_date"))
+     .write.mode("overwrite").partitionBy("symbol", "year").parquet(path))
+    return path
+
+
+def read_yearly_store(spark: SparkSession, path: str) -> DataFrame:
+    year = T.StructField("year", T.IntegerType())
+    return spark.read.schema(T.StructType([*BAR_SCHEMA.fields, year])).parquet(path)
+
+
+def upsert_yearly_store(spark: SparkSession, path: str, delta: DataFrame) -> None:
+    """SNK-1: rewrite only the (symbol, year) folders that ``delta`` touches.
+
+    ``delta`` has a ``batch`` column above 0; the stored rows of the touched
+    folders are read, merged (the last arrival wins), checkpointed (the folders
+    are about to be replaced) and written by dynamic partition overwrite.
+    """
+    new = _yearly(delta)
+    touched = new.select("symbol", "year").distinct()
+    old = read_yearly_store(spark, path).join(touched, ["symbol", "year"], "left_semi").withColumn("batch", F.lit(0))
+    merged = keep_last_per_key(old.unionByName(new.select(*old.columns)), ["symbol", "trade_date"]).drop("batch").checkpoint()
+    n = spark.sparkContext.defaultParallelism
+    (merged.repartitionByRange(n, "symbol", "year").sortWithinPartitions("symbol", "year", F.desc("trade_date"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "year").parquet(path))
+
+
 def read_bar_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BAR_SCHEMA).parquet(path)
 
@@ -136,13 +175,16 @@ def scan_symbol_bars(spark: SparkSession, path: str, symbol: str) -> DataFrame:
 
 
 def scan_all_bars(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-3: every per-symbol CSV below ``path`` (``symbol=`` folders), stacked.
+    """SRC-3: every ``<symbol>_price.csv`` below ``path``, stacked.
 
-    The symbol comes from the folder name (partition discovery) - the Spark
-    counterpart of taking it from a ``<symbol>_price.csv`` file name.
+    The symbol comes from that name, be it a file's or (as Spark writes them)
+    a folder's of part files.
     """
-    return (spark.read.schema(BAR_SCHEMA).option("header", True)
-            .option("pathGlobFilter", "*.csv").csv(path))
+    own = T.StructType([f for f in BAR_SCHEMA.fields if f.name != "symbol"])
+    rows = (spark.read.schema(own).option("header", True).option("pathGlobFilter", "*.csv")
+            .option("recursiveFileLookup", True).csv(path))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)_price\.csv(?:/|$)", 1)
+    return rows.select("*", name.alias("symbol")).where(F.col("symbol") != "")
 
 
 # ---------------------------------------------------------------- JSON

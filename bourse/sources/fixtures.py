@@ -163,10 +163,11 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, **extra: DataFrame) -> Dat
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily OHLCV bars per symbol.
 
-    One hash aggregate on (symbol, trade_date) with partial aggregation
-    before the shuffle: open/close are ``min_by``/``max_by`` over the
-    tie-broken arrival order, so no row of lineitem is shuffled unreduced
-    (a window per (symbol, day) would ship every row of a hot symbol).
+    One aggregate on (symbol, trade_date) with partial aggregation before the
+    shuffle: open/close are ``min_by``/``max_by`` over the tie-broken arrival
+    order (a window per (symbol, day) would ship every row of a hot symbol).
+    The order is a struct, so Spark sorts each task's rows for it
+    (SortAggregate): (orderkey, linenumber) alone is not unique here.
     """
     li = table(spark, sf_dir, "lineitem")
     t = li.select(
