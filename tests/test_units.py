@@ -62,7 +62,7 @@ def test_ordered_rank_exact_under_skew(spark):
     # one group holds a third of all rows
     rows = [(i, "hot" if i % 3 == 0 else f"g{i % 7}", (i * 7919) % 1000) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, g string, k long")
-    got = {r.id: r.rank for r in ordered_rank(df, ["k", "id"], ["g"], small_groups=False).collect()}
+    got = {r.id: r.rank for r in ordered_rank(df, ["k", "id"], ["g"]).collect()}
     for g in {r[1] for r in rows}:
         members = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
         assert [got[r[0]] for r in members] == list(range(1, len(members) + 1))
@@ -175,3 +175,60 @@ def test_empty_guard(spark):
 def test_scratch_path_under_checkpoint_dir(spark):
     base = spark.sparkContext.getCheckpointDir()
     assert scratch_path(spark, "x").startswith(base.rstrip("/"))
+
+
+def test_upsert_leaves_untouched_folders_alone(spark):
+    import glob
+    import os
+
+    from bourse.session import scratch_path
+    from bourse.sources import files as S
+
+    day = dt.date
+    rows = [("A", day(2023, 5, 1), 1.0), ("A", day(2024, 5, 1), 2.0), ("B", day(2024, 5, 1), 3.0)]
+
+    def bars(rs):
+        return spark.createDataFrame([(d, c, c, c, c, 1, c, s) for s, d, c in rs], S.BAR_SCHEMA)
+
+    path = S.write_yearly_store(bars(rows), scratch_path(spark, "t-store"))
+    local = path.removeprefix("file:")
+
+    def files():
+        return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{local}/symbol=*/year=*/*.parquet")}
+
+    before = files()
+    S.upsert_yearly_store(spark, path, bars([("A", day(2024, 5, 1), 9.0), ("A", day(2024, 5, 2), 8.0)])
+                          .selectExpr("*", "1 AS batch"))
+    after = files()
+    same = {f for f in before if after.get(f) == before[f]}
+    assert {f.split("symbol=")[1].rsplit("/", 1)[0] for f in same} == {"A/year=2023", "B/year=2024"}
+    got = sorted((r.symbol, r.trade_date, r.close) for r in S.read_yearly_store(spark, path).collect())
+    assert got == [("A", day(2023, 5, 1), 1.0), ("A", day(2024, 5, 1), 9.0), ("A", day(2024, 5, 2), 8.0), ("B", day(2024, 5, 1), 3.0)]
+
+
+def test_quantiles_of_a_hot_value(spark):
+    """A value that a third of the rows hold is one row of the ranked table."""
+    vals = [7.0 if i % 3 == 0 else float(i % 1000) for i in range(9000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = {r.q: r.quantile for r in PF.exact_quantiles(PF.long_values(df, ["x"]), (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)).collect()}
+    for q, v in got.items():
+        assert v == pytest.approx(float(np.quantile(vals, q)))
+    assert len(got) == 6
+
+
+def test_category_limit(spark):
+    from bourse.operators.prep import fit_categories
+
+    df = spark.createDataFrame([(f"v{i}",) for i in range(20)], "c string")
+    assert len(fit_categories(df, "c", 20)) == 20
+    with pytest.raises(ValueError, match="more than 19 categories"):
+        fit_categories(df, "c", 19)
+
+
+def test_summary_length_bounds(spark):
+    from bourse.operators.text import extractive_summary
+
+    words = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, ". ".join(f"{words} s{k}" for k in range(6)) + ".")], "doc_id long, text string")
+    n = extractive_summary(df).first().summary_tokens
+    assert 55 <= n <= 80
