@@ -17,7 +17,8 @@ FAST = ["highlights", "top_losers", "select_bar_columns", "company_lookup", "tic
         "describe_numeric", "describe_category", "box_stats", "abs_correlation", "row_split", "stratified_folds",
         "random_undersample", "column_transformer", "gaussian_nb", "classification_report", "error_rates",
         "rouge_n", "extractive_summary", "map_batches", "stream_upsert_bars", "stream_first_seen_news",
-        "knn_candidates", "knn_classifier", "smote_oversample"]
+        "knn_candidates", "knn_classifier", "smote_oversample", "projection_reply", "news_reply_predicted",
+        "truncate_targets", "stream_news_mood"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("BOURSE_ALL_ORACLE") else FAST
 
 
