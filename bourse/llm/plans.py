@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bourse.llm import chat, decontam, lines, minhash, packing, quality, rules, toxicity, warc
+from bourse.llm import chat, decontam, lines, minhash, oracles, packing, quality, rules, toxicity, warc
 from bourse.llm import license as licenses
 from bourse.llm.sampling import remainder
 from bourse.session import scratch_path
@@ -135,12 +135,12 @@ QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
-    "op3_minhash_near_dedup": (op3_minhash_near_dedup, None),
+    "op3_minhash_near_dedup": (op3_minhash_near_dedup, oracles.NEAR_SQL),
     "op4_toxicity": (op4_toxicity, None),
     "op5_benchmark_decontamination": (op5_benchmark_decontamination, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
-    "op8_license_scans": (op8_license_scans, None),
+    "op8_license_scans": (op8_license_scans, oracles.LICENSE_SQL),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
