@@ -11,7 +11,7 @@ line, by (doc_id, line number), is linked with it; the earliest stays.
    untouched. Only lines that share a half key with another line go on; this
    loses no link and keeps the variants from all lines being written out.
 3. Every candidate emits its deletion neighbourhood, one key per left-out word
-   and one for itself. Lines that leave out the same place with an equal rest
+   of the half that may differ, and one for itself. Lines that leave out the same place with an equal rest
    differ in that word; a line equal to a variant lacks one word. Per key only
    the earliest line is joined back, so a key shared by a third of all lines
    makes as many rows as it has lines, never pairs.
@@ -133,26 +133,29 @@ def _text_batches(min_words: int, bits):
 
 
 def _variant_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deletion neighbourhoods: (key of the rest and its place, key of the rest) and the line's own key."""
+    """Deletion neighbourhoods: key of the rest and its place (0), key of the rest (1), the line's own key (2)."""
     for batch in it:
         data, off = T.column(batch, "words")
-        other = T.keep_columns(batch, ["la", "lb", "first"])
+        line = T.keep_columns(batch, ["line"])[0].to_numpy()
+        lo, hi = (c.to_numpy(zero_copy_only=False) for c in T.keep_columns(batch, ["lo", "hi"]))
         for i, j, d, o in T.blocks(data, off, 1 << 18):
             x = BlockLines(d, o, 0)
             n = x.n
             row = np.repeat(np.arange(j - i), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)          # the word left out
+            keep = (hi[i:j][row] & (place >= (n[row] - 1) // 2)) | (lo[i:j][row] & (place <= n[row] // 2))
+            row, place = row[keep], place[keep]
             first, last = x.first[row], x.last[row]
-            w = first + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)      # the word left out
-            rest = x.raw(first, w) + x.raw(w + 1, last) * T.powers(w - first)
+            w = first + place
+            rest = x.raw(first, w) + x.raw(w + 1, last) * T.powers(place)
             size = (last - first - 1).astype(np.uint64) * T._M2
             gone = T.mix(rest + size)                                             # as ``line_hash`` of the rest
-            placed = T.mix((gone ^ _Q) + (w - first).astype(np.uint64) * T._M1)
+            placed = T.mix((gone ^ _Q) + place.astype(np.uint64) * T._M1)
             own = T.mix(x.raw(x.first, x.last) + n.astype(np.uint64) * T._M2)
             key = np.concatenate([placed, gone, own]).view(np.int64)
             kind = np.repeat(np.array([0, 1, 2], np.int32), [len(row), len(row), j - i])
-            at = pa.array(np.concatenate([row, row, np.arange(j - i)]) + i)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), *[c.take(at) for c in other]],
-                                             names=["key", "kind", "la", "lb", "first"])
+            of = line[i:j][np.concatenate([row, row, np.arange(j - i)])]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(of)], names=["key", "kind", "line"])
 
 
 def _one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -178,33 +181,34 @@ def _place() -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     """(la, lb, earlier_la, earlier_lb): verified pairs of a line and an earlier one an edit apart."""
-    keys = distinct.select("la", "lb", F.explode("halves").alias("half"))
+    keys = distinct.select("node", F.posexplode("halves").alias("side", "half"))
     shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    chosen = saved(keys.join(shared, "half").select("la", "lb").distinct().join(
-        distinct.select("la", "lb", "first"), ["la", "lb"]), "line-candidates")
+    # an equal first half leaves the edit to the last one, and the other way round
+    sides = keys.join(shared, "half").groupBy("node").agg(
+        F.bool_or(F.col("side") % 2 == 1).alias("lo"), F.bool_or(F.col("side") % 2 == 0).alias("hi"))
+    chosen = saved(sides.join(distinct.select("node", "la", "lb", "first"), "node").drop("node"), "line-candidates")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap.build(chosen, F.col("la")))   # 2 MB at any size
     words = docs.select(F.col("text").cast("string")).mapInArrow(
         _text_batches(min_words, bits), "la long, lb long, words string").dropDuplicates(["la", "lb"])
-    texts = saved(words.join(chosen, ["la", "lb"]), "line-words")
-    kind = dict(texts.dtypes)["first"]
-    posts = texts.repartition("la").mapInArrow(
-        _variant_batches, f"key long, kind int, la long, lb long, first {kind}")
-    posts = saved(posts, "line-variants")
-    me = F.struct("first", "la", "lb")
-    placed = posts.where("kind = 0")
-    heads = placed.groupBy("key").agg(F.min(me).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    replaced = placed.join(heads, "key").select(me.alias("x"), F.col("head").alias("y"))
+    # numbered in the order of their places, so a smaller number is an earlier line
+    texts = saved(words.join(chosen, ["la", "lb"]).orderBy("first", "la", "lb")
+                  .withColumn("line", F.monotonically_increasing_id()), "line-words")
+    posts = saved(texts.select("words", "line", "lo", "hi").repartition("line").mapInArrow(
+        _variant_batches, "key long, kind int, line long"), "line-variants")
+    placed = posts.where("kind = 0").select("key", "line")
+    heads = placed.groupBy("key").agg(F.min("line").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    replaced = placed.join(heads, "key").select(F.col("line").alias("x"), F.col("head").alias("y"))
     # a line, and the lines that a word more makes of it
-    shorter = posts.where("kind = 2").select("key", me.alias("x"))
-    longer = posts.where("kind = 1").select("key", me.alias("y"))
+    shorter = posts.where("kind = 2").select("key", F.col("line").alias("x"))
+    longer = posts.where("kind = 1").select("key", F.col("line").alias("y"))
     pairs = replaced.union(shorter.join(longer, "key").select("x", "y")).where("x != y").select(
-        F.greatest("x", "y").alias("late"), F.least("x", "y").alias("early"))
-    pairs = pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("late", "early") for c in ("la", "lb")]).distinct()
+        F.greatest("x", "y").alias("late"), F.least("x", "y").alias("early")).distinct()
     for side in ("late", "early"):
-        own = texts.select(F.col("la").alias(f"{side}_la"), F.col("lb").alias(f"{side}_lb"), F.col("words").alias(side))
-        pairs = pairs.join(own, [f"{side}_la", f"{side}_lb"])
+        own = texts.select(F.col("line").alias(side), F.col("la").alias(f"{side}_la"), F.col("lb").alias(f"{side}_lb"),
+                           F.col("words").alias(f"{side}_words"))
+        pairs = pairs.join(own, side)
     one_edit = F.pandas_udf(_one_edit, "boolean")
-    return pairs.where(one_edit("late", "early")).select(
+    return pairs.where(one_edit("late_words", "early_words")).select(
         F.col("late_la").alias("la"), F.col("late_lb").alias("lb"), F.col("early_la").alias("earlier_la"),
         F.col("early_lb").alias("earlier_lb"))
 
@@ -213,7 +217,8 @@ def dropped_lines(docs: DataFrame, *, min_words: int = 6) -> DataFrame:
     """(doc_id, text_key, gone): line numbers to take out, for rows that lose any."""
     lines = _line_table(docs, min_words)
     distinct = saved(lines.groupBy("la", "lb").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"),
-                                                   F.first("halves").alias("halves")), "line-classes")
+                                                   F.first("halves").alias("halves"))
+                     .withColumn("node", F.monotonically_increasing_id()), "line-classes")
     late = near_lines(docs, distinct, min_words).select("la", "lb").distinct().withColumn("late", F.lit(True))
     marks = (distinct.select("la", "lb", "first", (F.col("first") != F.col("last")).alias("again"))
              .join(late, ["la", "lb"], "left").where("again OR late").select("la", "lb", "first", "late"))
