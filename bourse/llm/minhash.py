@@ -16,12 +16,12 @@ sequence as one when it has fewer words). Its MinHash signature has
   list they are probed: equal coordinates of the two signatures are counted,
   pairs below ``matches`` go, the rest is confirmed on the full sets.
 
-Pairs are not all written out. A round links each list's leader (smallest
-hash) with the members outside the leader's component; links are contracted to
-components; a second round takes other leaders. Then every pair of a list
-whose two documents still lie in different components is tested (one of the
-two is outside the list's largest component, so the join is stragglers times
-members). Pairs inside one component need no test: they cannot change it.
+Pairs are not all written out. A round links each list's leader (the most
+central member) with the members outside the leader's component; links are
+contracted to components; further rounds take other leaders. What may still be open, pairs
+of one list in two components, is searched exactly over the full sets' rarest
+shingles (``_open_pairs``). Pairs inside one component need no test: they
+cannot change it.
 
 ``matches`` is the largest count that a pair at the threshold misses with a
 chance of at most 1e-6 (``least_matches``): 27 of 48 at 0.85, 24 at 0.8.
@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from bourse.llm import textcols as T
 
 SHINGLE = 5
+LEADER_TURNS = 2   # more turns leave less to the last search; the result is the same
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -135,25 +136,26 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp): every node of links (a, b) with the smallest node it reaches.
 
     Alternating large-star and small-star steps; each is one aggregate and one
-    join over the edges, checkpointed, until the edges no longer change.
+    join over the edges, checkpointed, until every edge leads to a root.
     """
-    edges = links.select("a", "b").where("a != b").distinct().checkpoint()
-    state = None
+    edges = links.select("a", "b").where("a != b")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         # small star: every edge now points from the larger to the smaller node
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("x"), "m").where("x != m").select(
             F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b"))
         edges = small.union(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(now) == state:
+        # done when every node points at one root and no root points on
+        points = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("root")).union(
+            edges.select("b", F.lit(0), F.lit(1)))
+        open_ = points.groupBy("a").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where(
+            "out > 1 OR (out = 1 AND root = 1)")
+        if open_.limit(1).count() == 0:
             break
-        state = tuple(now)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
@@ -163,19 +165,115 @@ def _matches() -> Column:
     return F.aggregate(equal, F.lit(0), lambda a, x: a + x)
 
 
-def _tested(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+def _tested(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """The pairs (a, b) with ``linked``: probed on signatures, confirmed on full sets."""
-    def side(df: DataFrame, x: str, cols: list[str]) -> DataFrame:
-        return df.select(F.col("digest").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    def side(x: str) -> DataFrame:
+        return sets.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("shingles").alias(f"shingles_{x}"))
 
-    near = (pairs.join(side(sigs, "a", ["n_shingles", "sig"]), "a")
-            .join(side(sigs, "b", ["n_shingles", "sig"]), "b")
-            .where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-            .where(_matches() >= matches).select("a", "b").checkpoint())
     inter = F.size(F.array_intersect("shingles_a", "shingles_b"))
     union = F.size("shingles_a") + F.size("shingles_b") - inter
-    return (near.join(side(sets, "b", ["shingles"]), "b").join(side(sets, "a", ["shingles"]), "a")
-            .select("a", "b", (100 * inter >= percent * union).alias("linked")))
+    linked = F.when(_matches() >= matches, 100 * inter >= percent * union).otherwise(F.lit(False))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", linked.alias("linked"))
+
+
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _leader_pairs(lists: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """Each list's leader with the members outside its component.
+
+    The leader is the most central member (its keys are held most often, as
+    those of the text that a group was copied from), after the first turn the
+    most central one outside the list's largest component.
+    """
+    member = lists.join(label, "node")
+    sizes = member.groupBy("list", "comp").agg(
+        F.count("*").alias("k"), F.max(F.struct("central", F.xxhash64("node", F.lit(turn)).alias("order"), "node")).alias("lead"))
+    per_list = sizes.groupBy("list").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1")
+    if turn:
+        sizes = sizes.join(per_list.select("list", F.col("top.comp").alias("top")), "list").where("comp != top")
+    lead = sizes.join(per_list.select("list"), "list", "left_semi").groupBy("list").agg(
+        F.max(F.struct("lead", "comp")).alias("l")).select("list", F.col("l.lead.node").alias("leader"), F.col("l.comp").alias("of"))
+    pairs = member.join(lead, "list").where("comp != of")
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+
+
+def _rarest_first(rows: DataFrame, elements: Column, *cols: str) -> DataFrame:
+    """``rows`` with ``size``, and ``found``: the elements that other rows hold too, rarest first."""
+    flat = rows.select(*cols, F.size(elements).alias("size"), F.explode(elements).alias("list")).checkpoint()
+    held = flat.groupBy("list").agg(F.count("*").alias("held")).where("held > 1")
+    return (flat.join(held, "list").groupBy(*cols, "size")
+            .agg(F.array_sort(F.collect_list(F.struct("held", "list"))).alias("found"))
+            .withColumn("known", F.size("found")))
+
+
+def _joined(found: DataFrame, long: Column, short: Column, enough: Column) -> DataFrame:
+    """Pairs in two components that share an element of the larger one's ``long`` and the smaller one's ``short`` prefix.
+
+    Own elements come first in the order, so a prefix reaches that many less of
+    the shared ones. ``enough`` tells from (n, size, known) of both, the
+    larger's with s_, whether what they can share at most suffices.
+    """
+    own = F.col("size") - F.col("known")
+    posted = (found.withColumn("take", F.greatest(F.greatest(long, short) - own, F.lit(0)))
+              .withColumn("few", short - own).withColumn("many", long - own)
+              .select("node", "comp", "ref", "n", "size", "known", "few", "many",
+                      F.posexplode(F.slice("found", F.lit(1), F.col("take"))).alias("at", "f"))
+              .select("f.list", "node", "comp", "ref", "n", "size", "known", (F.col("at") < F.col("few")).alias("few"),
+                      (F.col("at") < F.col("many")).alias("many")).checkpoint())
+    mixed = posted.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
+    posted = posted.join(mixed, "list", "left_semi").checkpoint()
+    large = posted.where("many").select("list", *[F.col(c).alias(f"s_{c}") for c in ("node", "comp", "ref", "n", "size", "known")])
+    pairs = (posted.where("few").join(large, "list").where("comp != s_comp")
+             .where(F.struct("size", "node") < F.struct("s_size", "s_node")).where(enough))
+    return pairs.select(F.least("node", "s_node").alias("a"), F.greatest("node", "s_node").alias("b"))
+
+
+def _open_pairs(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair that may still join two components.
+
+    Every document of a list with several components has a reference, the most
+    central leader of its lists, with which it has been tested. Two documents
+    of one reference are compared by their differences from it (shingles more
+    or less than the reference): sets x and y of D(x) and D(y) differences
+    differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles. In two components
+    they are not both linked to the reference, so a link needs shared
+    differences, and copies of one text with edits of their own share few. Two
+    documents of different references are compared by their shingles. Both are
+    prefix joins on the rarest elements.
+    """
+    member = lists.join(label, "node")
+    mixed = member.groupBy("list").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+        F.max(F.struct("central", F.xxhash64("node", F.lit(0)).alias("order"), "node")).alias("lead")).where("lo != hi")
+    open_ = (member.join(mixed.select("list", "lead"), "list").groupBy("node", "comp")
+             .agg(F.max("lead").alias("lead")).select("node", "comp", F.col("lead.node").alias("ref")))
+    rows = sets.join(open_, "node").withColumn("n", F.size("shingles")).checkpoint()
+    lost, both = 100 - percent, 100 + percent
+
+    def up(x: Column) -> Column:
+        return F.ceil(x).cast("int")
+
+    # shingles, for pairs of different references
+    n = F.col("size")
+    most = F.least("known", "s_known")
+    plain = _joined(_rarest_first(rows, F.col("shingles"), "node", "comp", "ref", "n"),
+                    n - up(percent * n / 100) + 1, n - up(2 * percent * n / both) + 1,
+                    (F.col("ref") != F.col("s_ref")) & _sizes_fit("n", "s_n", percent)
+                    & (100 * most >= percent * (F.col("n") + F.col("s_n") - most)))
+    # differences, for pairs of one reference; ~x is a shingle that is missing
+    base = sets.select(F.col("node").alias("ref"), F.col("shingles").alias("base"))
+    change = F.concat(F.array_except("shingles", "base"),
+                      F.transform(F.array_except("base", "shingles"), lambda x: F.bitwise_not(x)))
+    change = F.transform(change, lambda x: F.xxhash64("ref", x))
+    changes = rows.join(base, "ref").select("node", "comp", "ref", "n", change.alias("change")).where(F.size("change") > 0)
+    room = F.floor(F.col("n") * lost / percent).cast("int")     # differences that a link leaves at most
+    shared = F.greatest(up(n * (both - lost) / (2 * both) - 1e-9), n - F.floor(room / 2).cast("int"), F.lit(1))
+    enough = 2 * most >= F.col("size") + F.col("s_size") - (F.col("n") + F.col("s_n")) * lost / both - 1e-9
+    near = _joined(_rarest_first(changes, F.col("change"), "node", "comp", "ref", "n"),
+                   n - F.greatest(n - room, F.lit(1)) + 1, n - shared + 1, _sizes_fit("n", "s_n", percent) & enough)
+    return plain.union(near)
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, coordinates: int = 48) -> DataFrame:
@@ -185,59 +283,47 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, coordinates: int
     rows = signatures(docs, coordinates).checkpoint()
     classes = (rows.where(F.col("digest").isNotNull()).groupBy("digest")
                .agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"),
-                    F.any_value("sig").alias("sig")).checkpoint())
+                    F.any_value("sig").alias("sig"))
+               .withColumn("node", F.monotonically_increasing_id()).checkpoint())
     # keys held by two classes or more, and the prefix of each class
-    keys = classes.select("digest", "n_shingles", F.posexplode("sig").alias("c", "v")).select(
-        "digest", "n_shingles", (F.shiftleft(F.col("c").cast("long"), 32)
-                                 + F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
+    keys = classes.select("node", "n_shingles", F.posexplode("sig").alias("c", "v")).select(
+        "node", "n_shingles", (F.shiftleft(F.col("c").cast("long"), 32)
+                               + F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     prefix = coordinates - matches + 1
-    posted = (keys.join(shared, "key").groupBy("digest", "n_shingles")
+    posted = (keys.join(shared, "key").groupBy("node", "n_shingles")
               .agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("found"))
               .where(F.size("found") >= matches)
-              .select("digest", "n_shingles",
+              .withColumn("central", F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["held"]))
+              .select("node", "n_shingles", "central",
                       F.explode(F.slice("found", 1, F.size("found") - F.lit(coordinates - prefix))).alias("f")))
     size_class = F.floor(F.log("n_shingles") / float(-np.log(threshold)) + 1e-9)
-    lists = (posted.select("digest", F.explode(F.array(size_class, size_class + 1)).alias("size"), F.col("f.key"))
-             .select("digest", F.xxhash64("key", "size").alias("list")).distinct().checkpoint())
+    lists = (posted.select("node", "central", F.explode(F.array(size_class, size_class + 1)).alias("size"), F.col("f.key"))
+             .select("node", "central", F.xxhash64("key", "size").alias("list")).distinct().checkpoint())
     lists = lists.join(lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list").select(
-        "list", "digest").checkpoint()
-    wanted = lists.select("digest").distinct().checkpoint()
-    sigs = classes.join(wanted, "digest", "left_semi").checkpoint()
+        "list", "node", "central").checkpoint()
+    wanted = lists.select("node").distinct()
+    sigs = classes.join(wanted, "node", "left_semi").checkpoint()
     ids = sigs.select(F.col("first_id").alias("id")).distinct()
     sets = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
             .mapInArrow(_set_batches, "digest binary, shingles array<bigint>")
-            .join(wanted, "digest", "left_semi").dropDuplicates(["digest"]).checkpoint())
+            .join(sigs.select("digest", "node", "sig"), "digest").dropDuplicates(["node"])
+            .select("node", "sig", "shingles").checkpoint())
 
-    label = wanted.select(F.col("digest").alias("node"), F.col("digest").alias("comp"))
+    label = sigs.select("node", F.col("node").alias("comp"))
     tested = None
-    for turn in range(3):
-        member = lists.join(label, lists.digest == label.node).select("list", "digest", "comp")
-        mixed = member.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                           F.min(F.struct(F.xxhash64("digest", F.lit(turn)), "digest", "comp")).alias("lead"))
-        mixed = mixed.where("lo != hi")
-        if turn < 2:
-            pairs = (member.join(mixed, "list").where(F.col("comp") != F.col("lead.comp"))
-                     .select(F.least("digest", "lead.digest").alias("a"), F.greatest("digest", "lead.digest").alias("b")))
-        else:
-            open_ = member.join(mixed.select("list"), "list", "left_semi").checkpoint()
-            largest = (open_.groupBy("list", "comp").agg(F.count("*").alias("n")).groupBy("list")
-                       .agg(F.max(F.struct("n", "comp")).alias("top")))
-            out = (open_.join(largest, "list").where(F.col("comp") != F.col("top.comp"))
-                   .select("list", F.col("digest").alias("s"), F.col("comp").alias("s_comp")))
-            pairs = (open_.join(out, "list").where("comp != s_comp")
-                     .select(F.least("digest", "s").alias("a"), F.greatest("digest", "s").alias("b")))
-        pairs = pairs.distinct()
+    for turn in range(LEADER_TURNS + 1):
+        pairs = (_leader_pairs(lists, label, turn) if turn < LEADER_TURNS else _open_pairs(lists, label, sets, percent)).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        now = _tested(pairs.checkpoint(), sigs, sets, matches, percent).checkpoint()
+        now = _tested(pairs, sets, matches, percent).checkpoint()
         tested = now if tested is None else tested.union(now)
-        found = components(tested.where("linked"))
-        label = (wanted.join(found, wanted.digest == found.node, "left")
-                 .select(F.col("digest").alias("node"), F.coalesce("comp", "digest").alias("comp")).checkpoint())
-    named = classes.select("digest", "first_id").join(label, classes.digest == label.node, "left").select(
-        "digest", "first_id", F.coalesce("comp", "digest").alias("comp")).checkpoint()
+        found = components(tested.where("linked")).withColumnRenamed("comp", "found")
+        label = sigs.select("node").join(found, "node", "left").select(
+            "node", F.coalesce("found", "node").alias("comp")).checkpoint()
+    named = classes.select("digest", "first_id", "node").join(label, "node", "left").select(
+        "digest", "first_id", F.coalesce("comp", "node").alias("comp")).checkpoint()
     first = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(first, "comp").select(F.col("digest").alias("of"), "component_id")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
