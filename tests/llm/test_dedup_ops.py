@@ -1,5 +1,6 @@
 """Near duplicates, lines, benchmark: brute force, hot groups and edge cases."""
 
+import random
 import re
 from itertools import combinations
 
@@ -77,6 +78,23 @@ def test_near_duplicates_chain_and_large_group(spark):
     check_near(spark.createDataFrame(rows, "doc_id long, text string"), 0.85)
 
 
+def test_near_duplicates_copies_with_own_edits(spark):
+    """Copies of one text with 1 to 4 edits, and copies of copies: many pairs just under the threshold."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(ws, n):
+        ws = list(ws)
+        for _ in range(n):
+            k = rng.randrange(len(ws))
+            ws[k:k + rng.randrange(2)] = [f"e{rng.randrange(10 ** 6)}"]
+        return ws
+
+    copies = [edited(base, rng.randint(1, 4)) for _ in range(120)]
+    copies += [edited(rng.choice(copies), rng.randint(1, 2)) for _ in range(40)]
+    check_near(spark.createDataFrame([(k, " ".join(c)) for k, c in enumerate(copies)], "doc_id long, text string"), 0.85)
+
+
 def test_least_matches():
     assert M.least_matches(0.85, 48) == 27 and M.least_matches(0.8, 48) == 24 and M.least_matches(0.5, 1) == 1
 
