@@ -22,7 +22,7 @@ from bourse.llm import textcols as T
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 LIMIT = 0x250
-CACHE_RUNS = 1_000_000
+CACHE_RUNS = 400_000
 
 
 def default_tokenizer() -> str:
