@@ -5,10 +5,12 @@ number words, units and capitalised words inside a sentence become typed
 placeholders (``<num>``, ``<unit>``, ``<name>``). Every window of ``window``
 template words of every text is hashed and joined with the windows of the
 benchmark items. Windows that match on one diagonal (document position minus
-item position) belong together; there each placeholder of the item must stand
-for one and the same value of the document and the other way round. Equal
-values are a verbatim copy, consistently replaced ones a re-parameterised
-question; inconsistent ones are another text and do not count. A document is
+item position) belong together. In a window each placeholder value of the item
+must stand for one value of the document (two item values may become equal).
+Equal values are a verbatim copy, consistently replaced ones a re-parameterised
+question; inconsistent windows do not count, and leave the others of their
+diagonal alone. With ``whole_diagonal`` one value must hold on the whole
+diagonal, and an inconsistent diagonal does not count at all. A document is
 contaminated by an item when at least ``min_coverage`` of the item's windows
 are matched.
 
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bourse.llm import bitmap
@@ -136,7 +138,7 @@ def _hit_batches(sizes: list[int], bits):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_words: int = 5,
-                  min_coverage: float = 0.3) -> DataFrame:
+                  min_coverage: float = 0.3, whole_diagonal: bool = True) -> DataFrame:
     """One row per contaminated document row and item.
 
     Columns doc_id, text_key (hash of the text), item_id, matched and
@@ -158,17 +160,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min
     total = items.groupBy("item_row").agg(F.countDistinct("item_pos").alias("n_windows"))
     # (item value, document value) of every placeholder of the item
     both = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
-    found = (hits.join(items, "hash").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-             .groupBy("row_id", "doc_id", "text_key", "item_row", "item_id", "diagonal")
-             .agg(F.collect_set("item_pos").alias("at"),
-                  F.array_distinct(F.flatten(F.collect_set(F.filter(both, lambda x: x["i"] != 0)))).alias("values")))
-    n_values = F.size("values")
-    consistent = ((F.size(F.array_distinct(F.col("values.i"))) == n_values)
-                  & (F.size(F.array_distinct(F.col("values.d"))) == n_values))
-    changed = F.exists("values", lambda x: x["i"] != x["d"])
-    per_item = (found.where(consistent).groupBy("row_id", "doc_id", "text_key", "item_row", "item_id")
+
+    def consistent(values: str) -> Column:
+        return F.size(F.array_distinct(F.col(f"{values}.i"))) == F.size(values)
+
+    matched = (hits.join(items, "hash").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+               .withColumn("pairs", F.array_distinct(F.filter(both, lambda x: x["i"] != 0))))
+    by = ["row_id", "doc_id", "text_key", "item_row", "item_id", "diagonal"]
+    at = F.collect_set("item_pos").alias("at")
+    changed = F.exists("pairs", lambda x: x["i"] != x["d"])
+    if whole_diagonal:
+        found = (matched.groupBy(*by).agg(at, F.max(changed).alias("changed"),
+                                          F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("values"))
+                 .where(consistent("values")))
+    else:
+        found = matched.where(consistent("pairs")).groupBy(*by).agg(at, F.max(changed).alias("changed"))
+    per_item = (found.groupBy("row_id", "doc_id", "text_key", "item_row", "item_id")
                 .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"),
-                     F.max(changed).alias("changed")))
+                     F.max("changed").alias("changed")))
     coverage = F.col("matched") / F.col("n_windows")
     return (per_item.join(total, "item_row").where(coverage >= min_coverage)
             .select("doc_id", "text_key", "item_id", F.col("matched").cast("long"), "n_windows",

@@ -201,3 +201,24 @@ def test_contamination_brute_force(spark):
             if n > 0 and sum(tuple(it[i:i + 8]) in have for i in range(n)) >= 0.3 * n:
                 want.add((r.doc_id, k))
     assert {(r.doc_id, r.item_id) for r in D.contamination(docs, bench).collect()} == want
+
+
+def test_contamination_checks_placeholders_per_window(spark):
+    """One changed value leaves the other windows; two item values may become one."""
+    docs = spark.createDataFrame([
+        (1, ITEM.replace("12 apples", "40 apples")), (2, ITEM.replace("3 dollars", "4 dollars").replace("5 dollars", "4 dollars")),
+        (3, "Nothing of the kind stands in this clean text at all.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(70, ITEM)], "item_id long, text string")
+    assert {r.doc_id for r in D.contamination(docs, bench).collect()} == {2}
+    assert {r.doc_id for r in D.contamination(docs, bench, whole_diagonal=False).collect()} == {1, 2}
+
+
+def test_registered_decontamination_checks_placeholders_per_window(spark, tmp_path):
+    import corpus_pipeline
+    from bourse.llm.plans import op5_benchmark_decontamination
+
+    docs = spark.createDataFrame([(1, ITEM.replace("12 apples", "40 apples")), (2, "clean text")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(70, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in op5_benchmark_decontamination(spark, str(tmp_path)).collect()] == [1]
+    assert [r.doc_id for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()] == [2]
