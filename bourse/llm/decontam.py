@@ -3,7 +3,7 @@
 Words (letters and digits, A-Z in lower case) are canonicalised: numbers,
 number words, units and capitalised words inside a sentence become typed
 placeholders (``<num>``, ``<unit>``, ``<name>``). Every window of ``window``
-template words of every text is hashed and joined with the windows of the
+words, plain and template, of every text is hashed and joined with the windows of the
 benchmark items. Windows that match on one diagonal (document position minus
 item position) belong together. In a window each placeholder value of the item
 must stand for one value of the document (two item values may become equal).
@@ -14,9 +14,10 @@ diagonal, and an inconsistent diagonal does not count at all. A document is
 contaminated by an item when at least ``min_coverage`` of the item's windows
 are matched.
 
-An item shorter than a window is one window of its own length; items under
-``min_words`` words, and windows with fewer than half literal words, are too
-common to tell anything and are not looked for.
+An item shorter than a window is one window of its own length. Every window of
+every item is looked for word for word; templates of items under ``min_words``
+words, and of windows with fewer than half literal words, are too common to
+tell anything, so these match word for word only.
 
 Scale: texts are read once. A 2 MB bitmap of the item windows' hashes, the same
 size for any benchmark, lets tasks drop other windows before the exact join;
@@ -31,6 +32,7 @@ empty tables give an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +83,16 @@ class Template:
         self.slot = number | unit | name
         self.word = np.where(number, _MARKS[0], np.where(unit, _MARKS[1], np.where(name, _MARKS[2], self.value)))
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows of ``k`` words (never 0) and their first words."""
-        g, at = T.gram_hash(self.word, self.doc, k)
+    def windows(self, k: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows of ``k`` template or plain words and their first words.
+
+        A template window without a placeholder is the plain one, so it is left out.
+        """
+        g, at = T.gram_hash(self.value if plain else self.word, self.doc, k)
+        if not plain:
+            slots = np.concatenate([[0], np.cumsum(self.slot)])
+            typed = slots[at + k] > slots[at]
+            g, at = g[typed], at[typed]
         return T.mix(g + np.uint64(k)).view(np.int64), at
 
     def slots(self, at: np.ndarray, k: int) -> np.ndarray:
@@ -91,6 +100,12 @@ class Template:
         x = at[:, None] + np.arange(k)
         return np.where(self.slot[x], self.value[x].view(np.int64), 0)
 
+    def slot_lists(self, at: np.ndarray, k: int, plain: bool) -> pa.Array:
+        """``slots`` as lists; plain windows need no placeholder values."""
+        if plain:
+            return T.ragged(np.zeros(0, np.int64), np.zeros(len(at), np.int64), pa.int64())
+        return T.ragged(self.slots(at, k).reshape(-1), np.full(len(at), k), pa.int64())
+
 
 def _item_batches(window: int, min_words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,19 +114,21 @@ def _item_batches(window: int, min_words: int):
             item_row, item = T.keep_columns(batch, ["item_row", "item_id"])
             for i, j, d, o in T.blocks(data, off):
                 t = Template(d, o)
-                for k in range(min_words, window + 1):
-                    g, at = t.windows(k)
+                first = np.cumsum(t.count) - t.count
+                for k, plain in product(range(1, window + 1), (True, False)):
+                    g, at = t.windows(k, plain)
                     doc = t.doc[at]
                     fits = t.count[doc] >= window if k == window else t.count[doc] == k
-                    fits &= 2 * (t.slots(at, k) == 0).sum(1) >= k
-                    g, at, doc = g[fits], at[fits], doc[fits]
-                    first = np.cumsum(t.count) - t.count
+                    # templates of few literal words are too common; such windows match word for word only
+                    literal = (2 * (t.slots(at, k) == 0).sum(1) >= k) & (k >= min_words)
+                    if not plain:
+                        fits &= literal
+                    g, at, doc, literal = g[fits], at[fits], doc[fits], literal[fits]
                     rows = pa.array(doc + i)
                     yield pa.RecordBatch.from_arrays(
                         [item_row.take(rows), item.take(rows), pa.array(at - first[doc], pa.int32()), pa.array(g),
-                         pa.array(np.full(len(g), k), pa.int32()),
-                         T.ragged(t.slots(at, k).reshape(-1), np.full(len(g), k), pa.int64())],
-                        names=["item_row", "item_id", "item_pos", "hash", "size", "item_slots"])
+                         pa.array(np.full(len(g), k), pa.int32()), pa.array(literal), t.slot_lists(at, k, plain)],
+                        names=["item_row", "item_id", "item_pos", "hash", "size", "literal", "item_slots"])
     return run
 
 
@@ -123,8 +140,8 @@ def _hit_batches(sizes: list[int], bits):
             for i, _, d, o in T.blocks(data, off):
                 t = Template(d, o)
                 first = np.cumsum(t.count) - t.count
-                for k in sizes:
-                    g, at = t.windows(k)
+                for k, plain in product(sizes, (True, False)):
+                    g, at = t.windows(k, plain)
                     hit = bitmap.test(bits.value, g)
                     g, at = g[hit], at[hit]
                     if len(g):
@@ -132,7 +149,7 @@ def _hit_batches(sizes: list[int], bits):
                         rows = pa.array(doc + i)
                         yield pa.RecordBatch.from_arrays(
                             [*[c.take(rows) for c in own], pa.array(at - first[doc], pa.int32()), pa.array(g),
-                             T.ragged(t.slots(at, k).reshape(-1), np.full(len(g), k), pa.int64())],
+                             t.slot_lists(at, k, plain)],
                             names=["row_id", "doc_id", "text_key", "pos", "hash", "slots"])
     return run
 
@@ -148,16 +165,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min
     items = (benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col("item_id").cast("long"),
                               F.col("text").cast("string"))
              .mapInArrow(_item_batches(window, min_words),
-                         "item_row long, item_id long, item_pos int, hash long, size int, item_slots array<bigint>")
+                         "item_row long, item_id long, item_pos int, hash long, size int, literal boolean, "
+                         "item_slots array<bigint>")
              .checkpoint())
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())   # at most window - min_words + 1
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())   # at most window
     bits = spark.sparkContext.broadcast(bitmap.build(items, F.col("hash")))          # 2 MB at any size
     hits = (docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"),
                         F.col("text").cast("string"))
             .withColumn("text_key", F.xxhash64("text"))
             .mapInArrow(_hit_batches(sizes, bits),
                         "row_id long, doc_id long, text_key long, pos int, hash long, slots array<bigint>"))
-    total = items.groupBy("item_row").agg(F.countDistinct("item_pos").alias("n_windows"))
+    literal_pos = F.when(F.col("literal"), F.col("item_pos"))
+    total = items.groupBy("item_row").agg(F.countDistinct("item_pos").alias("n"), F.countDistinct(literal_pos).alias("n_literal"))
     # (item value, document value) of every placeholder of the item
     both = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
 
@@ -167,19 +186,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min
     matched = (hits.join(items, "hash").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
                .withColumn("pairs", F.array_distinct(F.filter(both, lambda x: x["i"] != 0))))
     by = ["row_id", "doc_id", "text_key", "item_row", "item_id", "diagonal"]
-    at = F.collect_set("item_pos").alias("at")
+    at = [F.collect_set("item_pos").alias("at"), F.collect_set(F.when(F.col("literal"), F.col("item_pos"))).alias("literal_at")]
     changed = F.exists("pairs", lambda x: x["i"] != x["d"])
     if whole_diagonal:
-        found = (matched.groupBy(*by).agg(at, F.max(changed).alias("changed"),
+        found = (matched.groupBy(*by).agg(*at, F.max(changed).alias("changed"),
                                           F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("values"))
                  .where(consistent("values")))
     else:
-        found = matched.where(consistent("pairs")).groupBy(*by).agg(at, F.max(changed).alias("changed"))
+        found = matched.where(consistent("pairs")).groupBy(*by).agg(*at, F.max(changed).alias("changed"))
     per_item = (found.groupBy("row_id", "doc_id", "text_key", "item_row", "item_id")
-                .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"),
+                .agg(*[F.size(F.array_distinct(F.flatten(F.collect_list(c)))).alias(f"n_{c}") for c in ("at", "literal_at")],
                      F.max("changed").alias("changed")))
+    # of all windows, or of those that a template can match, whichever is the larger share
+    by_template = F.col("n_literal_at") * F.col("n") > F.col("n_at") * F.col("n_literal")
+    shares = (per_item.join(total, "item_row")
+              .withColumn("matched", F.when(by_template, F.col("n_literal_at")).otherwise(F.col("n_at")))
+              .withColumn("n_windows", F.when(by_template, F.col("n_literal")).otherwise(F.col("n"))))
     coverage = F.col("matched") / F.col("n_windows")
-    return (per_item.join(total, "item_row").where(coverage >= min_coverage)
+    return (shares.where(coverage >= min_coverage)
             .select("doc_id", "text_key", "item_id", F.col("matched").cast("long"), "n_windows",
                     coverage.alias("coverage"),
                     F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind")))

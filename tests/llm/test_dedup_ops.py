@@ -222,3 +222,16 @@ def test_registered_decontamination_checks_placeholders_per_window(spark, tmp_pa
     spark.createDataFrame([(70, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.doc_id for r in op5_benchmark_decontamination(spark, str(tmp_path)).collect()] == [1]
     assert [r.doc_id for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_contamination_word_for_word(spark):
+    """Items of numbers or names, and items under five words, are found as they stand."""
+    numbers, names = "17 4 23 8 15 42 16 99 3 5 12 77", "the Alice Bob Carol Dave Erin Frank Grace Heidi Ivan"
+    docs = spark.createDataFrame([
+        (1, f"see {numbers} end"), (2, f"It says {names} now"), (3, "And then: What is love? Nobody knows"), (4, "one two three Paris"),
+        (5, "what love is nobody knows here " + " ".join(numbers.split()[::-1]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(80, numbers), (81, names), (82, "what is love"), (83, "Paris")], "item_id long, text string")
+    for whole in (True, False):
+        got = {(r.doc_id, r.item_id): r for r in D.contamination(docs, bench, whole_diagonal=whole).collect()}
+        assert set(got) == {(1, 80), (2, 81), (3, 82), (4, 83)}
+        assert all(r.kind == "verbatim" and r.coverage == 1 for r in got.values())
