@@ -12,7 +12,8 @@ question; inconsistent windows do not count, and leave the others of their
 diagonal alone. With ``whole_diagonal`` one value must hold on the whole
 diagonal, and an inconsistent diagonal does not count at all. A document is
 contaminated by an item when at least ``min_coverage`` of the item's windows
-are matched.
+are matched, or when windows that follow each other on one diagonal cover
+``run_words`` words, whatever their share of the item.
 
 An item shorter than a window is one window of its own length. Every window of
 every item is looked for word for word; templates of items under ``min_words``
@@ -154,8 +155,13 @@ def _hit_batches(sizes: list[int], bits):
     return run
 
 
+def _longer(last: Column, n: Column, best: Column) -> Column:
+    return F.struct(last.alias("last"), n.alias("n"), F.greatest(best, n).alias("best"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_words: int = 5,
-                  min_coverage: float = 0.3, whole_diagonal: bool = True) -> DataFrame:
+                  min_coverage: float = 0.3, whole_diagonal: bool = True,
+                  run_words: int = 30) -> DataFrame:
     """One row per contaminated document row and item.
 
     Columns doc_id, text_key (hash of the text), item_id, matched and
@@ -194,16 +200,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min
                  .where(consistent("values")))
     else:
         found = matched.where(consistent("pairs")).groupBy(*by).agg(*at, F.max(changed).alias("changed"))
-    per_item = (found.groupBy("row_id", "doc_id", "text_key", "item_row", "item_id")
+    # the longest run of positions that follow each other
+    longest = F.aggregate(
+        F.array_sort("at"), F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best")),
+        lambda r, x: _longer(x, F.when(r["last"] + 1 == x, r["n"] + 1).otherwise(1), r["best"]), lambda r: r["best"])
+    per_item = (found.withColumn("run", longest).groupBy("row_id", "doc_id", "text_key", "item_row", "item_id")
                 .agg(*[F.size(F.array_distinct(F.flatten(F.collect_list(c)))).alias(f"n_{c}") for c in ("at", "literal_at")],
-                     F.max("changed").alias("changed")))
+                     F.max("changed").alias("changed"), F.max("run").alias("run")))
     # of all windows, or of those that a template can match, whichever is the larger share
     by_template = F.col("n_literal_at") * F.col("n") > F.col("n_at") * F.col("n_literal")
     shares = (per_item.join(total, "item_row")
               .withColumn("matched", F.when(by_template, F.col("n_literal_at")).otherwise(F.col("n_at")))
               .withColumn("n_windows", F.when(by_template, F.col("n_literal")).otherwise(F.col("n"))))
     coverage = F.col("matched") / F.col("n_windows")
-    return (shares.where(coverage >= min_coverage)
+    return (shares.where((coverage >= min_coverage) | (F.col("run") >= max(run_words - window + 1, 2)))
             .select("doc_id", "text_key", "item_id", F.col("matched").cast("long"), "n_windows",
                     coverage.alias("coverage"),
                     F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind")))

@@ -235,3 +235,15 @@ def test_contamination_word_for_word(spark):
         got = {(r.doc_id, r.item_id): r for r in D.contamination(docs, bench, whole_diagonal=whole).collect()}
         assert set(got) == {(1, 80), (2, 81), (3, 82), (4, 83)}
         assert all(r.kind == "verbatim" and r.coverage == 1 for r in got.values())
+
+
+def test_contamination_long_runs_of_long_items(spark):
+    """A passage of 30 words counts whatever the item's length; scattered words of the same number do not."""
+    item = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    docs = spark.createDataFrame([
+        (1, "before " + " ".join(item[100:190]) + " after"), (2, " ".join(item[40:70])), (3, " ".join(item[40:69])),
+        (4, " x ".join(" ".join(item[30 * k:30 * k + 15]) for k in range(6)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(90, " ".join(item))], "item_id long, text string")
+    for whole in (True, False):
+        got = {r.doc_id: (r.matched, r.n_windows, r.kind) for r in D.contamination(docs, bench, whole_diagonal=whole).collect()}
+        assert got == {1: (83, 293, "verbatim"), 2: (23, 293, "verbatim")}
