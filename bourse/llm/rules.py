@@ -3,10 +3,12 @@
 Each document's character-class and common-word histograms are compared with
 references of its language by Jensen-Shannon distance. The references are the
 mean histograms of all documents of the language that pass the base rules,
-computed by one Spark aggregate; a language with fewer than ``min_docs`` such
-documents (or a null one) uses the reference over all languages. Each distance
-counts only above a minimum length (``min_chars``, ``min_words``), since a
-short text's histogram says little.
+computed by one Spark aggregate. A language with fewer than ``min_docs`` such
+documents (or a null one) has no reference: its distances are to the mean over
+all languages, which tells other scripts and words rather than junk, so they
+are given but the base rules alone decide. Each distance counts only above a
+minimum length (``min_chars``, ``min_words``), since a short text's histogram
+says little.
 
 One Arrow pass makes a fixed number of counts per document; that narrow table
 is checkpointed, summed up by language and joined with the references (a row
@@ -14,7 +16,7 @@ per language; Spark broadcasts it only under its size threshold, else AQE
 splits the hot language). No text is shuffled.
 
 Edge cases: a null or empty text has no words, so it fails the base rule; null
-language: overall reference; repeated rows stay repeated; other columns of the
+language: base rules only; repeated rows stay repeated; other columns of the
 input are ignored; an empty table gives an empty result.
 """
 
@@ -178,7 +180,8 @@ def quality_rules(docs: DataFrame, *, max_class_distance: float = 0.22, max_word
         "word_distance": F.when(F.col("n_words") >= min_words, js_distance(
             F.col("word_share"), F.coalesce("word_share_lang", "word_share_all"))),
     })
-    far = ((F.coalesce("class_distance", F.lit(0.0)) > max_class_distance)
-           | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance))
+    far = F.col("class_share_lang").isNotNull() & (
+        (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance)
+        | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance))
     return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~far).alias("kept"),
                       "class_distance", "word_distance")

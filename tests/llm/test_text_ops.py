@@ -120,6 +120,24 @@ def test_quality_rules_reject_junk_and_keep_prose(spark):
     assert sum(good) >= 0.99 * len(good)
 
 
+def test_quality_rules_keep_rare_and_unlabelled_languages(spark):
+    """The same clean texts are kept with 3 documents of a language and with 20, and with none labelled."""
+    def text(letters, common, k):
+        rng = np.random.default_rng(k)
+        words = [w for i in range(60) for w in (common[i % len(common)], "".join(rng.choice(list(letters), 6)))]
+        return " ".join(words) + "."
+
+    latin, cyrillic, greek = "abcdefghijklmnoprstuvw", "абвгдежзиклмнопрстуфхы", "αβγδεζηθικλμνξοπρστυφω"
+    base = [(k, text(latin, R.COMMON["en"], k), "en") for k in range(40)]
+    base += [(900, " ".join(f"x{k}##$$%%&&{k}**" for k in range(80)), "en")]
+    base += [(200 + k, text(greek, ["και", "το"], k), None) for k in range(3)]
+    for n in (3, 20):
+        docs = spark.createDataFrame(base + [(100 + k, text(cyrillic, ["на", "не"], k), "ru") for k in range(n)],
+                                     "doc_id long, text string, lang string")
+        kept = {r.doc_id: r.kept for r in R.quality_rules(docs).collect()}
+        assert [i for i, k in kept.items() if not k] == [900]
+
+
 def test_chunks_cover_whole_texts():
     texts = ["", "a", "b" * Q.CHUNK, "c" * (3 * Q.CHUNK + 5)]
     rows, n = Q.chunk_rows(*block(texts))
