@@ -1,8 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is its words, A-Z in lower case; lines with fewer than ``min_words``
-words always stay. Two lines are linked when they are equal or one word edit
-apart (one word put in, left out or replaced). A line goes when an earlier
+A line is its words, A-Z in lower case. Two lines are linked when they are equal
+and have ``exact_words`` words, or are one word edit apart (one word put in,
+left out or replaced) and have ``min_words`` words; other lines always stay. A line goes when an earlier
 line, by (doc_id, line number), is linked with it; the earliest stays.
 
 1. One Arrow pass writes every line's 128-bit hash and place, and four half
@@ -91,21 +91,22 @@ class BlockLines:
         return out
 
 
-def _line_batches(min_words: int):
+def _line_batches(min_words: int, exact_words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, off = T.column(batch, "text")
             ids, keys = T.keep_columns(batch, ["doc_id", "text_key"])
             for i, _, d, o in T.blocks(data, off):
-                x = BlockLines(d, o, min_words)
+                x = BlockLines(d, o, min(min_words, exact_words))
                 if not len(x.n):
                     continue
                 la, lb = x.line_hash()
                 at = pa.array(x.doc + i)
+                long = x.n >= min_words                      # others have no half keys, so no variants
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(at), keys.take(at), pa.array(x.number, pa.int32()), pa.array(la.view(np.int64)),
                      pa.array(lb.view(np.int64)),
-                     T.ragged(x.halves().view(np.int64).reshape(-1), np.full(len(x.n), 4), pa.int64())],
+                     T.ragged(x.halves()[long].view(np.int64).reshape(-1), 4 * long, pa.int64())],
                     names=["doc_id", "text_key", "line_no", "la", "lb", "halves"])
     return run
 
@@ -168,11 +169,11 @@ def _one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def _line_table(docs: DataFrame, min_words: int) -> DataFrame:
+def _line_table(docs: DataFrame, min_words: int, exact_words: int) -> DataFrame:
     """Eligible lines of every document row, with place and hashes."""
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn(
         "text_key", F.xxhash64("text"))
-    return saved(cols.mapInArrow(_line_batches(min_words), LINE_DDL), "lines")
+    return saved(cols.mapInArrow(_line_batches(min_words, exact_words), LINE_DDL), "lines")
 
 
 def _place() -> Column:
@@ -213,9 +214,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFram
         F.col("early_lb").alias("earlier_lb"))
 
 
-def dropped_lines(docs: DataFrame, *, min_words: int = 6) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, min_words: int = 6, exact_words: int | None = None) -> DataFrame:
     """(doc_id, text_key, gone): line numbers to take out, for rows that lose any."""
-    lines = _line_table(docs, min_words)
+    lines = _line_table(docs, min_words, min_words if exact_words is None else exact_words)
     distinct = saved(lines.groupBy("la", "lb").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"),
                                                    F.first("halves").alias("halves"))
                      .withColumn("node", F.monotonically_increasing_id()), "line-classes")
@@ -236,12 +237,15 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 6, count: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = 6, exact_words: int | None = None,
+                count: str | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``.
 
+    ``exact_words`` is the least number of words of lines that go as exact
+    copies (1: every line that holds a word); by default it is ``min_words``.
     ``count`` names a column to add with the number of lines taken out.
     """
-    gone = dropped_lines(docs, min_words=min_words).select(
+    gone = dropped_lines(docs, min_words=min_words, exact_words=exact_words).select(
         F.col("doc_id").alias("__of"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
     joined = docs.join(gone, own, "left")

@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line has; one that loses its last word goes."""
-    out = lines.dedup_lines(docs, count="__gone")
+    out = lines.dedup_lines(docs, exact_words=1, count="__gone")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     out = out.where(worded | (F.col("__gone") == 0)).drop("__gone")
     if "n_chars" in docs.columns:

@@ -247,3 +247,18 @@ def test_contamination_long_runs_of_long_items(spark):
     for whole in (True, False):
         got = {r.doc_id: (r.matched, r.n_windows, r.kind) for r in D.contamination(docs, bench, whole_diagonal=whole).collect()}
         assert got == {1: (83, 293, "verbatim"), 2: (23, 293, "verbatim")}
+
+
+def test_short_lines_go_as_exact_copies(spark):
+    """Every line that holds a word loses its later copies; near copies still need six words."""
+    import corpus_pipeline
+
+    url = "https://example.org/" + "x" * 300
+    one, two = "a line of seven words that repeats", "a line of seven words that differs"
+    docs = spark.createDataFrame([
+        (1, f"MIT license.\n\n{url}\n中文的一行没有空格\none two three four five\n{one}"),
+        (2, f"mit  LICENSE.\n\n{url}\n中文的一行没有空格\none two three four six\n{two}\nown words"), (3, "own words\nmore")],
+        "doc_id long, text string")
+    want = {1: docs.first().text, 2: "\n\none two three four six\nown words".removeprefix("\n"), 3: "more"}
+    assert {r.doc_id: r.text for r in LN.dedup_lines(docs, exact_words=1).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == want
