@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bourse.llm import chat, decontam, lines, minhash, oracles, packing, quality, rules, toxicity, warc
+from bourse.llm import (chat, codes, decontam, lines, minhash, mtree, oracles, packing, quality, rules, toxicity,
+                        trie, warc)
 from bourse.llm import license as licenses
 from bourse.llm.sampling import remainder
 from bourse.session import scratch_path
@@ -132,6 +133,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded_report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_warc": (op1_warc, OP1_SQL),
@@ -144,4 +157,7 @@ QUERIES = {
     "op8_license_scans": (op8_license_scans, oracles.LICENSE_SQL),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op11_prefix_trie": (op11_prefix_trie, oracles.TRIE_SQL),
+    "op12_top_products": (op12_top_products, oracles.TOP_SQL),
+    "op13_vector_codes": (op13_vector_codes, oracles.CODES_SQL),
 }
