@@ -13,13 +13,11 @@ the plan does not grow and a lost executor recomputes one step only.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourse.functions.dates import next_business_day
+from bourse.operators import boosting as B
 
 # Target order and window length of the price model.
 TARGETS = ["Open", "Close", "High", "Low", "Volume"]
@@ -105,48 +103,43 @@ class LagMeanModel:
         return df.withColumns({f"Pred_{t}": self.predict_column(t) for t in TARGETS})
 
 
-class MultiTargetModel:
-    """MOD-1 / MOD-3: one fitted pipeline per target, applied side by side."""
+class BoostedModel:
+    """MOD-1 / MOD-3: one boosted ensemble per target over the same binned features."""
 
-    def __init__(self, models: dict[str, PipelineModel]):
-        self.models = models
+    def __init__(self, features: list[str], edges: list, grown: dict[str, B.Ensemble]):
+        self.features, self.edges, self.grown = features, edges, grown
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``Pred_<T>``; missing lags become the sentinel, as in training."""
         present = [c for c in lag_columns(WINDOW_DAYS) if c in df.columns]
-        out = df.fillna(MISSING_LAG, subset=present)
-        for t in TARGETS:
-            out = self.models[t].transform(out).withColumnRenamed("prediction", f"Pred_{t}").drop("features")
-        return out
+        return B.add_scores(df.fillna(MISSING_LAG, subset=present), self.features, self.edges,
+                            {f"Pred_{t}": e for t, e in self.grown.items()})
 
-    def save(self, path: str) -> None:
-        """SNK-2: Spark ML persistence, one folder per target."""
-        for t, m in self.models.items():
-            m.write().overwrite().save(f"{path.rstrip('/')}/{t}")
+    def save(self, spark, path: str) -> None:
+        """SNK-2: edges and trees as one table."""
+        B.save_ensembles(spark, path, [self.grown[t] for t in TARGETS], self.edges)
 
     @classmethod
-    def load(cls, path: str) -> "MultiTargetModel":
-        return cls({t: PipelineModel.load(f"{path.rstrip('/')}/{t}") for t in TARGETS})
+    def load(cls, spark, path: str, day: int = WINDOW_DAYS) -> "BoostedModel":
+        grown, edges = B.load_ensembles(spark, path)
+        return cls(feature_columns(day), edges, dict(zip(TARGETS, grown, strict=True)))
 
 
 def train_price_model(features: DataFrame, trees: int = 250, depth: int = 5, rate: float = 0.1,
                       row_share: float = 0.7, column_share: float = 0.8, seed: int = 11,
-                      day: int = WINDOW_DAYS) -> MultiTargetModel:
+                      day: int = WINDOW_DAYS) -> BoostedModel:
     """MOD-1: boosted trees per target over all symbols pooled.
 
-    Spark trees take no NaN, so a missing lag gets the sentinel -1 (below
-    any price or volume: the trees can split it off, as a missing-value
-    branch would). The training table is cached once for the five fits.
+    Features are binned once and the five targets grow side by side, so a fit
+    is trees x depth jobs over one byte a feature. A missing lag is the
+    sentinel -1: below any price or volume, so it has a bin of its own where it
+    occurs often, as a missing-value branch would.
     """
-    data = features.select(*feature_columns(day), *TARGETS).fillna(MISSING_LAG, subset=lag_columns(day)).cache()
-    models = {}
-    for t in TARGETS:
-        asm = VectorAssembler(inputCols=feature_columns(day), outputCol="features", handleInvalid="keep")
-        gbt = GBTRegressor(featuresCol="features", labelCol=t, maxIter=trees, maxDepth=depth, stepSize=rate,
-                           subsamplingRate=row_share, featureSubsetStrategy=str(column_share), seed=seed,
-                           lossType="squared")
-        models[t] = Pipeline(stages=[asm, gbt]).fit(data)
-    data.unpersist()
-    return MultiTargetModel(models)
+    names = feature_columns(day)
+    rows = B.bin_rows(features.select(*names, *TARGETS).fillna(MISSING_LAG, subset=lag_columns(day)), names, TARGETS)
+    specs = [B.Spec("squared", target=i, trees=trees, depth=depth, rate=rate, rows=row_share, columns=column_share, seed=seed)
+             for i in range(len(TARGETS))]
+    return BoostedModel(names, rows.edges, dict(zip(TARGETS, B.fit_ensembles(rows, specs), strict=True)))
 
 
 # ---------------------------------------------------------------- forecast

@@ -9,6 +9,10 @@ a value that a third of the rows hold is one row with its count.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,10 +148,43 @@ def box_stats(df: DataFrame, columns: list[str], label: str, digits: int = 6) ->
 
 
 def abs_correlation(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    """AGG-13: |Pearson r| for every ordered pair, one aggregate pass."""
-    pairs = [(a, b) for a in columns for b in columns]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
-    long = agg.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
-    parts = F.split("pair", r"\|")
-    return long.select(parts[0].alias("a"), parts[1].alias("b"), F.round(F.abs("r"), digits).alias("abs_r"))
+    """AGG-13: |Pearson r| for every ordered pair, from pairwise complete rows.
 
+    Tasks multiply blocks of rows as matrices (values, squares and presence, around
+    the column means, so sums do not cancel) and send one row of sums a column; these are
+    merged by column. A missing value (null or NaN) leaves out its own pairs
+    only. Without variation, or without a common row, r is NULL.
+    """
+    d = len(columns)
+    means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"m{i}")
+                     for i, c in enumerate(columns)]).first()
+    centre = np.array([m or 0.0 for m in means])
+    names = list(columns)
+
+    def products(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, d, d))
+        for batch in it:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)]) - centre
+            v = (~np.isnan(x)).astype(float)
+            x = np.where(v > 0, x, 0.0)
+            xv, qv = x.T @ v, (x * x).T @ v
+            total += np.stack([v.T @ v, xv, xv.T, qv, qv.T, x.T @ x])
+        for i in range(d):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[:, i].tobytes()], pa.binary())],
+                                             names=["i", "sums"])
+
+    def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in it:
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = np.frombuffer(s).reshape(6, d)
+                sums[i] = sums[i] + got if i in sums else got
+        for i, (n, sx, sy, qx, qy, xy) in sums.items():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r = np.abs((xy - sx * sy / n) / np.sqrt((qx - sx * sx / n) * (qy - sy * sy / n)))
+            yield pa.RecordBatch.from_arrays([pa.array([names[i]] * d), pa.array(names), pa.array(r, mask=~np.isfinite(r))],
+                                             names=["a", "b", "abs_r"])
+
+    cols = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    out = cols.mapInArrow(products, "i int, sums binary").repartition("i").mapInArrow(merged, "a string, b string, abs_r double")
+    return out.select("a", "b", F.round("abs_r", digits).alias("abs_r"))

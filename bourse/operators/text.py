@@ -23,6 +23,7 @@ MAX_INPUT_TOKENS = 512
 MAX_TARGET_TOKENS = 128
 SUMMARY_MAX_TOKENS = 80
 SUMMARY_MIN_TOKENS = 55
+FREQUENT_TERMS = 8192     # at most so many terms go to every task
 ASCII_TOKEN_SPLIT = "[^a-z0-9]+"
 UNICODE_TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -138,11 +139,15 @@ def rouge_l(pairs: DataFrame, keys: list[str], ref_col: str = "reference_text",
 
 
 # ---------------------------------------------------------------- extractive summary
+def sentence_parts(text: Column) -> Column:
+    """Pieces between line ends and after . ! ? (followed by blanks), blank ones included."""
+    return F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n")
+
+
 def sentences(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Split on line ends and after . ! ? (followed by blanks); blank pieces dropped."""
-    marked = F.regexp_replace(F.col(text_col), r"([.!?])\s+", "$1\n")
-    parts = F.filter(F.transform(F.split(marked, "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    return docs.select(key, F.posexplode(parts).alias("pos", "sentence"))
+    """(key, pos, sentence); blank pieces have a place but no row."""
+    pieces = docs.select(key, F.posexplode(sentence_parts(F.col(text_col))).alias("pos", "sentence"))
+    return pieces.withColumn("sentence", F.trim("sentence")).where(F.col("sentence") != "")
 
 
 def extractive_summary(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
@@ -152,32 +157,43 @@ def extractive_summary(docs: DataFrame, key: str = "doc_id", text_col: str = "te
     weight(term) = ln((N + 1) / (df + 1)); sentence score = mean weight of its
     tokens (rounded to 9 digits so equal sentences tie exactly); rank by
     score, then position; keep while the running token count <= max_tokens, or
-    while the summary before it is shorter than min_tokens (so the best
-    sentence always stays). Returns doc_id, summary, tokens, sentences.
+    while the summary before it is shorter than min_tokens: so the best sentence
+    always stays, and a long sentence can end a summary beyond max_tokens. Returns doc_id, summary, tokens, sentences.
     """
-    sents = sentences(docs, key, text_col).withColumn("tokens", tokenize_unicode(F.col("sentence")))
-    toks = sents.select(key, "pos", F.posexplode("tokens").alias("tpos", "term"))
     n_docs = docs.select(key).distinct().count()
     # Sentence breaks are token separators, so a document's terms are the
     # distinct tokens of its whole text: found inside the row (no shuffle of
     # (document, term) pairs); the counts aggregate partially before the shuffle.
-    df_ = docs.select(F.explode(F.array_distinct(tokenize_unicode(F.col(text_col)))).alias("term")) \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = df_.select("term", F.log((F.lit(n_docs + 1.0)) / (F.col("df") + 1.0)).alias("w"))
-    # Spark broadcasts the vocabulary only under its own byte limit; else a
-    # very common term is split by AQE's skew join.
-    tw = toks.join(weights, "term")
-    scores = tw.groupBy(key, "pos").agg(F.round(F.avg("w"), 9).alias("score"))
-    s = sents.join(scores, [key, "pos"], "left").withColumn("n_tok", F.size("tokens"))
+    # Empty pieces go after the explode, in generated code; a filter on the array is not.
+    def pieces(text: str) -> Column:
+        return F.split(F.lower(F.col(text)), UNICODE_TOKEN_SPLIT)
+
+    vocabulary = docs.select(F.explode(F.array_distinct(pieces(text_col))).alias("term")).where(F.col("term") != "") \
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df")).checkpoint(eager=True)
+    weight = F.log((F.lit(n_docs + 1.0)) / (F.col("df") + 1.0)).alias("w")
+    # The FREQUENT_TERMS most frequent terms go to every task: a bounded table, and
+    # no task gets a common term's rows. Their tokens become one sum a sentence
+    # before anything is shuffled; only rare terms are joined by term.
+    common = F.broadcast(vocabulary.orderBy(F.col("df").desc(), "term").limit(FREQUENT_TERMS).select("term", weight))
+    toks = sentences(docs, key, text_col).select(key, "pos", F.explode(pieces("sentence")).alias("term")) \
+        .withColumn("term", F.nullif("term", F.lit("")))           # a sentence without a word keeps a row
+    rare = F.when(F.col("w").isNull(), F.col("term")).alias("rare")
+    parts = toks.join(common, "term", "left").groupBy(key, "pos", rare).agg(
+        F.sum("w").alias("w"), F.count("term").alias("n")).checkpoint(eager=True)
+    joined = parts.where(F.col("rare").isNotNull()).select(key, "pos", "n", F.col("rare").alias("term")).join(
+        vocabulary.select("term", weight), "term").select(key, "pos", (F.col("n") * F.col("w")).alias("w"), "n")
+    s = parts.where(F.col("rare").isNull()).select(key, "pos", "w", "n").unionByName(joined).groupBy(key, "pos").agg(
+        F.sum("w").alias("w"), F.sum("n").alias("n_tok"))
+    s = s.select(key, "pos", "n_tok", F.round(F.try_divide("w", "n_tok"), 9).alias("score"))
     w = Window.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), F.col("pos"))
-    ranked = s.withColumn("rank", F.row_number().over(w)) \
-        .withColumn("cum", F.sum("n_tok").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = s.withColumn("cum", F.sum("n_tok").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     kept = ranked.where((F.col("cum") <= max_tokens) | (F.col("cum") - F.col("n_tok") < min_tokens))
-    out = kept.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("_s"),
-        F.sum("n_tok").alias("summary_tokens"), F.count(F.lit(1)).alias("summary_sentences"))
-    return out.select(key, F.array_join(F.transform("_s", lambda x: x["sentence"]), " ").alias("summary"),
-                      "summary_tokens", "summary_sentences")
+    out = kept.groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("_at"), F.sum("n_tok").alias("summary_tokens"),
+                                F.count(F.lit(1)).alias("summary_sentences"))
+    # numbers so far: the texts meet the places of their chosen sentences once
+    chosen = F.transform("_at", lambda p: F.trim(F.get(F.col("_parts"), p)))
+    return docs.select(key, sentence_parts(F.col(text_col)).alias("_parts")).join(out, key).select(
+        key, F.array_join(chosen, " ").alias("summary"), "summary_tokens", "summary_sentences")
 
 
 # ---------------------------------------------------------------- batched table function

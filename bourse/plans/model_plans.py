@@ -1,4 +1,4 @@
-"""Registered fitted-model jobs (MOD-1/3, MOD-5/6, MOD-8/9, MOD-12..17, SNK-2, SNK-4, FLT-10).
+"""Registered fitted-model jobs (MOD-1/3, MOD-5/6, MOD-8/9, MOD-12..17, SNK-2, SNK-4).
 
 Fitted models have no SQL counterpart (but for ``save_load_model``): the driver
 checks rows only; ``tests/test_models.py`` checks counts, ranges, reload
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bourse.operators import classify as C
 from bourse.operators import forecast as FC
+from bourse.operators import linear as L
 from bourse.operators import neighbours as NB
 from bourse.operators import prep as PR
 from bourse.operators import text as TX
@@ -26,9 +27,6 @@ from bourse.sources import fixtures as X
 from bourse.sources.fixtures import oracle_with as W
 
 SEED = 11
-# The registered price-model jobs fit this many trees per target: 250 (the
-# default of train_price_model) take hours on the check's machine. See README.
-PRICE_TREES = 10
 
 
 def _tabular(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -43,30 +41,33 @@ def _report(pred: DataFrame, model: str, params: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- prices
-def _fitted_prices(spark: SparkSession, sf: str) -> tuple[FC.MultiTargetModel, DataFrame, DataFrame]:
-    """Trees fitted on the 80 % training symbols; the features and the held-out symbols."""
-    feats = FP._features(spark, sf).checkpoint()
-    split = FP.q_group_split(spark, sf)
-    own = feats.join(split.where("split = 'train'").select("symbol"), "symbol")
-    return FC.train_price_model(own, trees=PRICE_TREES), feats, split.where("split = 'test'").select("symbol")
+_price_models: dict[tuple[str, str], str] = {}
+
+
+def fitted_prices(spark: SparkSession, sf: str) -> FC.BoostedModel:
+    """The price model fitted on the 80 % training symbols; fitted and saved once a session, then loaded."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _price_models:
+        train = FP.q_group_split(spark, sf).where("split = 'train'").select("symbol")
+        path = scratch_path(spark, "price-model")
+        FC.train_price_model(FP._features(spark, sf).join(train, "symbol")).save(spark, path)
+        _price_models[key] = path
+    return FC.BoostedModel.load(spark, _price_models[key])
 
 
 @register("train_price_model")
 def q_train_price_model(spark: SparkSession, sf: str) -> DataFrame:
-    """MOD-1 + MOD-3 + MOD-4 + SNK-2: boosted trees per target on the training
+    """MOD-1 + MOD-3 + MOD-4 + SNK-2: 250 boosted trees per target on the training
     symbols, saved, reloaded; R² of the reloaded model per held-out symbol."""
-    model, feats, test = _fitted_prices(spark, sf)
-    path = scratch_path(spark, "price-model")
-    model.save(path)
-    reloaded = FC.MultiTargetModel.load(path)
-    return FC.multi_target_r2(FC.score_prices(reloaded, feats.join(test, "symbol")), ["symbol"])
+    test = FP.q_group_split(spark, sf).where("split = 'test'").select("symbol")
+    return FC.multi_target_r2(FC.score_prices(fitted_prices(spark, sf), FP._features(spark, sf).join(test, "symbol")), ["symbol"])
 
 
 @register("forecast_gbt")
 def q_forecast_gbt(spark: SparkSession, sf: str) -> DataFrame:
     """WIN-6 with the boosted-tree model: 10 business days for every symbol."""
-    model, feats, _ = _fitted_prices(spark, sf)
-    return FC.recursive_forecast(model, FC.score_prices(model, feats))
+    model = fitted_prices(spark, sf)
+    return FC.recursive_forecast(model, FC.score_prices(model, FP._features(spark, sf)))
 
 
 # ---------------------------------------------------------------- sentiment
@@ -107,36 +108,33 @@ def q_save_load_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- tabular classifiers
+def _plane_reports(data: DataFrame, feats: list[str], model: str, planes: dict[str, list[float]]) -> DataFrame:
+    """Confusion counts per split of several planes, in one pass over the rows."""
+    found = F.array(*[F.struct(F.lit(name).alias("params"), L.side(feats, w).alias("pred")) for name, w in planes.items()])
+    pred = data.select("split", "label", F.explode(found).alias("p")).select("split", "label", "p.params", "p.pred")
+    return confusion_counts(pred, ["params", "split"]).select(F.lit(model).alias("model"), "params", "split", "tn", "fp", "fn", "tp")
+
+
 @register("logistic_regression")
 def q_logistic_regression(spark: SparkSession, sf: str) -> DataFrame:
-    """MOD-8: grid over iterations; confusion counts per split."""
-    train, data, _ = _tabular(spark, sf)
-    out = None
-    for it in C.GRIDS["logistic_regression"]["max_iter"]:
-        r = _report(C.fit_predict(C.estimators("logistic_regression", max_iter=it), train, data),
-                    "logistic_regression", f"max_iter={it}")
-        out = r if out is None else out.unionByName(r)
-    return out
+    """MOD-8: iterations x solver, the study's grid; confusion counts per split."""
+    train, data, feats = _tabular(spark, sf)
+    return _plane_reports(data, feats, "logistic_regression", C.logistic_grid(L.training_rows(train, feats), feats))
 
 
 @register("sgd_linear")
 def q_sgd_linear(spark: SparkSession, sf: str) -> DataFrame:
-    """MOD-9: five linear losses by full-batch gradient steps."""
+    """MOD-9: five linear losses by minibatch descent, stopped early on held-out rows."""
     train, data, feats = _tabular(spark, sf)
-    train = train.cache()
-    out = None
-    for loss in C.SGD_LOSSES:
-        w = C.sgd_linear(train, feats, loss, rounds=30)
-        r = _report(C.linear_predict(data, feats, w), "sgd_linear", f"loss={loss}")
-        out = r if out is None else out.unionByName(r)
-    return out
+    fitted = L.sgd_linear(L.training_rows(train, feats), feats, list(L.SGD_LOSSES))
+    return _plane_reports(data, feats, "sgd_linear", {f"loss={x}": w for x, (w, _) in fitted.items()})
 
 
 @register("decision_tree")
 def q_decision_tree(spark: SparkSession, sf: str) -> DataFrame:
     """MOD-12: criterion x depth x least gain, the study's grid."""
     train, data, _ = _tabular(spark, sf)
-    train = train.cache()
+    train = train.checkpoint()
     out = None
     for p in C.grid_points("decision_tree"):
         r = _report(C.fit_predict(C.estimators("decision_tree", **p), train, data), "decision_tree",
@@ -147,48 +145,32 @@ def q_decision_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("random_forest")
 def q_random_forest(spark: SparkSession, sf: str) -> DataFrame:
-    """MOD-13: the smallest of the study's forests (100 trees)."""
-    train, data, _ = _tabular(spark, sf)
-    return _report(C.fit_predict(C.estimators("random_forest", trees=100, depth=5, min_gain=0.01), train, data),
-                   "random_forest", "trees=100,depth=5,min_gain=0.01")
+    """MOD-13: trees x depth x least gain, the study's grid, from one forest."""
+    prep, feats = PP._prepared(spark, sf)
+    return C.tree_grid(prep, feats, "random_forest", SEED)
 
 
 @register("ada_boost")
 def q_ada_boost(spark: SparkSession, sf: str) -> DataFrame:
-    """MOD-14: SAMME with stumps, the smallest of the study's ensembles (50 rounds)."""
-    train, data, _ = _tabular(spark, sf)
-    return _report(C.ada_boost(train.cache(), data, rounds=50, rate=1.0), "ada_boost", "rounds=50,rate=1.0")
+    """MOD-14: SAMME with stumps, rounds x rate, the study's grid, from three fits."""
+    prep, feats = PP._prepared(spark, sf)
+    return C.tree_grid(prep, feats, "ada_boost", SEED)
 
 
 @register("gradient_boost")
 def q_gradient_boost(spark: SparkSession, sf: str) -> DataFrame:
-    """MOD-15: the study's final configuration (20 trees, depth 5, rate 0.1)."""
-    train, data, _ = _tabular(spark, sf)
-    return _report(C.fit_predict(C.estimators("gradient_boost", trees=20, depth=5, rate=0.1), train, data),
-                   "gradient_boost", "trees=20,depth=5,rate=0.1")
+    """MOD-15: trees x rate x depth, the study's grid, from six fits."""
+    prep, feats = PP._prepared(spark, sf)
+    return C.tree_grid(prep, feats, "gradient_boost", SEED)
 
 
 @register("grid_search_recall")
 def q_grid_search_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """MOD-16: points of three families x 5 folds, undersampling inside the
-    training folds only, best mean recall of class 1; the best point is refitted
-    on all training rows. ``classify.GRIDS`` has all eight families' grids."""
-    train, data, feats = _tabular(spark, sf)
-    folds = PR.stratified_folds(train, "row_id", "label", SEED).cache()
-    points = [("decision_tree", {"impurity": "gini", "depth": 5, "min_gain": 0.01}),
-              ("decision_tree", {"impurity": "gini", "depth": 10, "min_gain": 0.05}),
-              ("logistic_regression", {"max_iter": 500}), ("gaussian_nb", {"smoothing": 1e-8})]
-
-    def under(rows: DataFrame) -> DataFrame:
-        return PR.random_undersample(rows, "row_id", "label", SEED)
-
-    found = C.grid_search(folds, points, feats, under)
-    kind, params, _ = max(found, key=lambda r: r[2])
-    grid_df = spark.createDataFrame([(k, str(p), r, (k, p) == (kind, params)) for k, p, r in found],
-                                    "model string, params string, mean_recall double, best boolean")
-    pred = C.predict_family(kind, params, under(train), data.where(F.col("split") == "test"), feats)
-    rec = pred.agg(F.avg(F.when(F.col("label") == 1, (F.col("pred") == 1).cast("double"))).alias("test_recall"))
-    return grid_df.join(rec.withColumn("best", F.lit(True)), "best", "left")
+    """MOD-16: all points of all eight families x 5 folds, undersampling inside the
+    training folds only, best mean recall of class 1; each family's best point is
+    refitted on all training rows and reported on train, test and all rows."""
+    prep, feats = PP._prepared(spark, sf)
+    return C.grid_search(prep, feats, lambda rows: PR.random_undersample(rows, "row_id", "label", SEED), SEED)
 
 
 @register("compare_sampling")
