@@ -44,6 +44,7 @@ from bourse.operators.ordering import ordered_rank
 SEGMENT = 512
 SHARD = 1 << 17
 ID_RUN = 4096
+SALTS = 16
 EMPTY = hashlib.sha256(b"").hexdigest()
 _BIG = np.iinfo(np.int64).max
 
@@ -377,8 +378,12 @@ def prefix_trie(turns: DataFrame, *, span: int = 5, modulus: int = 9, segment: i
                           F.col("conv_id").alias("parent_conv_id"))
     cols = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved", "n_ends", "end_id", "a", "b"]
     whole = nodes.where("NOT shared AND NOT hangs").select(*cols)
-    hung = nodes.where("hangs").drop("parent_conv_id").join(parent, ["up_a", "up_b", "depth"], "left").select(*cols)
-    merged = summed.join(parent, ["up_a", "up_b", "depth"], "left").select(*cols)
+    # a node with very many children (the root) is met by them in SALTS tasks
+    salt = F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int").alias("salt")
+    salted = parent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    up = ["up_a", "up_b", "depth", "salt"]
+    hung = nodes.where("hangs").drop("parent_conv_id").withColumn("salt", salt).join(salted, up, "left").select(*cols)
+    merged = summed.withColumn("salt", salt).join(salted, up, "left").select(*cols)
     every = whole.unionByName(hung).unionByName(merged)
 
     several = every.where("n_ends > 1").select(*name)
