@@ -9,10 +9,8 @@ item position) belong together. In a window each placeholder value of the item
 must stand for one value of the document (two item values may become equal).
 Equal values are a verbatim copy, consistently replaced ones a re-parameterised
 question; inconsistent windows do not count, and leave the others of their
-diagonal alone. With ``whole_diagonal`` one value must hold on the whole
-diagonal, and an inconsistent diagonal does not count at all. A document is
-contaminated by an item when at least ``min_coverage`` of the item's windows
-are matched, or when windows that follow each other on one diagonal cover
+diagonal alone. A document is contaminated by an item when at least
+``min_coverage`` of the item's windows are matched, or when windows that follow each other on one diagonal cover
 ``run_words`` words, whatever their share of the item.
 
 An item shorter than a window is one window of its own length. Every window of
@@ -42,6 +40,7 @@ from pyspark.sql import functions as F
 
 from bourse.llm import bitmap
 from bourse.llm import textcols as T
+from bourse.llm.lines import saved
 
 WORD = T.byte_table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _DIGIT = T.byte_table(range(48, 58))
@@ -160,8 +159,7 @@ def _longer(last: Column, n: Column, best: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_words: int = 5,
-                  min_coverage: float = 0.3, whole_diagonal: bool = True,
-                  run_words: int = 30) -> DataFrame:
+                  min_coverage: float = 0.3, run_words: int = 30) -> DataFrame:
     """One row per contaminated document row and item.
 
     Columns doc_id, text_key (hash of the text), item_id, matched and
@@ -194,12 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min
     by = ["row_id", "doc_id", "text_key", "item_row", "item_id", "diagonal"]
     at = [F.collect_set("item_pos").alias("at"), F.collect_set(F.when(F.col("literal"), F.col("item_pos"))).alias("literal_at")]
     changed = F.exists("pairs", lambda x: x["i"] != x["d"])
-    if whole_diagonal:
-        found = (matched.groupBy(*by).agg(*at, F.max(changed).alias("changed"),
-                                          F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("values"))
-                 .where(consistent("values")))
-    else:
-        found = matched.where(consistent("pairs")).groupBy(*by).agg(*at, F.max(changed).alias("changed"))
+    found = matched.where(consistent("pairs")).groupBy(*by).agg(*at, F.max(changed).alias("changed"))
     # the longest run of positions that follow each other
     longest = F.aggregate(
         F.array_sort("at"), F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best")),
@@ -223,5 +216,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     """``docs`` without the rows that an item contaminates; columns stay."""
     found = contamination(docs, benchmark, **options).select(
         F.col("doc_id").alias("__of"), F.col("text_key").alias("__key")).distinct()
+    found = saved(found, "contaminated")           # its size is known then: a small one goes to the texts, not they to it
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
     return docs.join(found, own, "left_anti")

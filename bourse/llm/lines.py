@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line is its words, A-Z in lower case. Two lines are linked when they are equal
-and have ``exact_words`` words, or are one word edit apart (one word put in,
+and have ``exact_words`` words (one), or are one word edit apart (one word put in,
 left out or replaced) and have ``min_words`` words; other lines always stay. A line goes when an earlier
 line, by (doc_id, line number), is linked with it; the earliest stays.
 
@@ -74,20 +74,16 @@ class BlockLines:
         keep = b - a >= min_words
         self.doc, self.number, self.first, self.last = doc[keep], number[keep], a[keep], b[keep]
         n = self.last - self.first
-        # word j of a line weighs P^j: sums of a range, shifted back by its start
-        j = np.arange(len(self.h))
-        self.sum1 = np.concatenate([[np.uint64(0)], np.cumsum(self.h * T.powers(j))])
-        h2 = T.mix(self.h ^ _Q)
-        self.sum2 = np.concatenate([[np.uint64(0)], np.cumsum(h2 * T.powers(j))])
+        # word j of a block weighs base^j: sums of a range, shifted back by its start
+        self.sums = [T.weighted_sums(self.h), T.weighted_sums(T.mix(self.h ^ _Q), 1)]
         self.n = n
 
-    def raw(self, a: np.ndarray, b: np.ndarray, which: int = 1) -> np.ndarray:
-        c = self.sum1 if which == 1 else self.sum2
-        return T.raw_span(c, a, b)
+    def raw(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+        return T.raw_span(self.sums[which], a, b, which)
 
     def line_hash(self) -> tuple[np.ndarray, np.ndarray]:
         n = self.n.astype(np.uint64) * T._M2
-        return T.mix(self.raw(self.first, self.last) + n), T.mix(self.raw(self.first, self.last, 2) ^ n)
+        return T.mix(self.raw(self.first, self.last) + n), T.mix(self.raw(self.first, self.last, 1) ^ n)
 
     def halves(self) -> np.ndarray:
         """Four keys a line: first and last half as the shorter, then as the longer of two lines."""
@@ -157,7 +153,7 @@ def _variant_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, place = row[keep], place[keep]
             first, last = x.first[row], x.last[row]
             w = first + place
-            rest = x.raw(first, w) + x.raw(w + 1, last) * T.powers(place)
+            rest = T.joined(x.raw(first, w), x.raw(w + 1, last), place)
             size = (last - first - 1).astype(np.uint64) * T._M2
             gone = T.mix(rest + size)                                             # as ``line_hash`` of the rest
             placed = T.mix((gone ^ _Q) + place.astype(np.uint64) * T._M1)
@@ -223,9 +219,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFram
         F.col("early_lb").alias("earlier_lb"))
 
 
-def dropped_lines(docs: DataFrame, *, min_words: int = 6, exact_words: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, min_words: int = 6, exact_words: int = 1) -> DataFrame:
     """(doc_id, text_key, gone): line numbers to take out, for rows that lose any."""
-    lines = _line_table(docs, min_words, min_words if exact_words is None else exact_words)
+    lines = _line_table(docs, min_words, exact_words)
     distinct = saved(lines.groupBy("la", "lb").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"),
                                                    F.first("halves").alias("halves"))
                      .withColumn("node", F.monotonically_increasing_id()), "line-classes")
@@ -246,12 +242,12 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 6, exact_words: int | None = None,
+def dedup_lines(docs: DataFrame, *, min_words: int = 6, exact_words: int = 1,
                 count: str | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``.
 
     ``exact_words`` is the least number of words of lines that go as exact
-    copies (1: every line that holds a word); by default it is ``min_words``.
+    copies (1: every line that holds a word), ``min_words`` that of lines one edit apart.
     ``count`` names a column to add with the number of lines taken out.
     """
     gone = dropped_lines(docs, min_words=min_words, exact_words=exact_words).select(

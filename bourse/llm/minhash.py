@@ -24,7 +24,11 @@ shingles (``_open_pairs``). Pairs inside one component need no test: they
 cannot change it.
 
 ``matches`` is the largest count that a pair at the threshold misses with a
-chance of at most 1e-6 (``least_matches``): 27 of 48 at 0.85, 24 at 0.8.
+chance of at most 1e-6 (``least_matches``): 27 of 48 at 0.85, 24 at 0.8. A pair
+that has met in a list goes only below the count that it misses with 1e-12.
+
+What a step leaves is written and read again as files, so small tables are few
+tasks in the next step, and a table that a newer one replaces is removed.
 
 Edge cases: null, empty or wordless text has no set, n_shingles 0 and is its
 own component; repeated rows and ties stay, each with its row; the smallest
@@ -44,6 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bourse.llm import textcols as T
+from bourse.llm.lines import discard, saved
 
 SHINGLE = 5
 LEADER_TURNS = 2   # more turns leave less to the last search; the result is the same
@@ -138,7 +143,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each is one aggregate and one
     join over the edges, checkpointed, until every edge leads to a root.
     """
-    edges = links.select("a", "b").where("a != b")
+    edges = links = links.select("a", "b").where("a != b")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -148,7 +153,9 @@ def components(links: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("x"), "m").where("x != m").select(
             F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b"))
-        edges = small.union(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        was, edges = edges, saved(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "near-edges")
+        if was is not links:
+            discard(was)
         # done when every node points at one root and no root points on
         points = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("root")).union(
             edges.select("b", F.lit(0), F.lit(1)))
@@ -165,14 +172,14 @@ def _matches() -> Column:
     return F.aggregate(equal, F.lit(0), lambda a, x: a + x)
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+def _tested(pairs: DataFrame, sets: DataFrame, probe: int, percent: int) -> DataFrame:
     """The pairs (a, b) with ``linked``: probed on signatures, confirmed on full sets."""
     def side(x: str) -> DataFrame:
         return sets.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("shingles").alias(f"shingles_{x}"))
 
     inter = F.size(F.array_intersect("shingles_a", "shingles_b"))
     union = F.size("shingles_a") + F.size("shingles_b") - inter
-    linked = F.when(_matches() >= matches, 100 * inter >= percent * union).otherwise(F.lit(False))
+    linked = F.when(_matches() >= probe, 100 * inter >= percent * union).otherwise(F.lit(False))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", linked.alias("linked"))
 
 
@@ -201,7 +208,7 @@ def _leader_pairs(lists: DataFrame, label: DataFrame, turn: int) -> DataFrame:
 
 def _rarest_first(rows: DataFrame, elements: Column, *cols: str) -> DataFrame:
     """``rows`` with ``size``, and ``found``: the elements that other rows hold too, rarest first."""
-    flat = rows.select(*cols, F.size(elements).alias("size"), F.explode(elements).alias("list")).checkpoint()
+    flat = saved(rows.select(*cols, F.size(elements).alias("size"), F.explode(elements).alias("list")), "near-elements")
     held = flat.groupBy("list").agg(F.count("*").alias("held")).where("held > 1")
     return (flat.join(held, "list").groupBy(*cols, "size")
             .agg(F.array_sort(F.collect_list(F.struct("held", "list"))).alias("found"))
@@ -216,14 +223,14 @@ def _joined(found: DataFrame, long: Column, short: Column, enough: Column) -> Da
     larger's with s_, whether what they can share at most suffices.
     """
     own = F.col("size") - F.col("known")
-    posted = (found.withColumn("take", F.greatest(F.greatest(long, short) - own, F.lit(0)))
+    posted = saved(found.withColumn("take", F.greatest(F.greatest(long, short) - own, F.lit(0)))
               .withColumn("few", short - own).withColumn("many", long - own)
               .select("node", "comp", "ref", "n", "size", "known", "few", "many",
                       F.posexplode(F.slice("found", F.lit(1), F.col("take"))).alias("at", "f"))
               .select("f.list", "node", "comp", "ref", "n", "size", "known", (F.col("at") < F.col("few")).alias("few"),
-                      (F.col("at") < F.col("many")).alias("many")).checkpoint())
+                      (F.col("at") < F.col("many")).alias("many")), "near-posted")
     mixed = posted.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
-    posted = posted.join(mixed, "list", "left_semi").checkpoint()
+    posted = saved(posted.join(mixed, "list", "left_semi"), "near-posted")
     large = posted.where("many").select("list", *[F.col(c).alias(f"s_{c}") for c in ("node", "comp", "ref", "n", "size", "known")])
     pairs = (posted.where("few").join(large, "list").where("comp != s_comp")
              .where(F.struct("size", "node") < F.struct("s_size", "s_node")).where(enough))
@@ -249,7 +256,7 @@ def _open_pairs(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: in
         F.max(F.struct("central", F.xxhash64("node", F.lit(0)).alias("order"), "node")).alias("lead")).where("lo != hi")
     open_ = (member.join(mixed.select("list", "lead"), "list").groupBy("node", "comp")
              .agg(F.max("lead").alias("lead")).select("node", "comp", F.col("lead.node").alias("ref")))
-    rows = sets.join(open_, "node").withColumn("n", F.size("shingles")).checkpoint()
+    rows = saved(sets.join(open_, "node").withColumn("n", F.size("shingles")), "near-open")
     lost, both = 100 - percent, 100 + percent
 
     def up(x: Column) -> Column:
@@ -280,11 +287,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, coordinates: int
     """Per row of ``docs``: doc_id, text_key (hash of the text), n_shingles, component_id and kept."""
     percent = round(100 * threshold)
     matches = least_matches(threshold, coordinates)
-    rows = signatures(docs, coordinates).checkpoint()
-    classes = (rows.where(F.col("digest").isNotNull()).groupBy("digest")
+    probe = least_matches(threshold, coordinates, 1e-12)        # loses no link that a list has brought
+    rows = saved(signatures(docs, coordinates), "near-signatures")
+    classes = saved(rows.where(F.col("digest").isNotNull()).groupBy("digest")
                .agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"),
                     F.any_value("sig").alias("sig"))
-               .withColumn("node", F.monotonically_increasing_id()).checkpoint())
+               .withColumn("node", F.monotonically_increasing_id()), "near-classes")
     # keys held by two classes or more, and the prefix of each class
     keys = classes.select("node", "n_shingles", F.posexplode("sig").alias("c", "v")).select(
         "node", "n_shingles", (F.shiftleft(F.col("c").cast("long"), 32)
@@ -298,32 +306,36 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, coordinates: int
               .select("node", "n_shingles", "central",
                       F.explode(F.slice("found", 1, F.size("found") - F.lit(coordinates - prefix))).alias("f")))
     size_class = F.floor(F.log("n_shingles") / float(-np.log(threshold)) + 1e-9)
-    lists = (posted.select("node", "central", F.explode(F.array(size_class, size_class + 1)).alias("size"), F.col("f.key"))
-             .select("node", "central", F.xxhash64("key", "size").alias("list")).distinct().checkpoint())
-    lists = lists.join(lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list").select(
-        "list", "node", "central").checkpoint()
+    lists = saved(posted.select("node", "central", F.explode(F.array(size_class, size_class + 1)).alias("size"), F.col("f.key"))
+             .select("node", "central", F.xxhash64("key", "size").alias("list")).distinct(), "near-postings")
+    lists = saved(lists.join(lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list").select(
+        "list", "node", "central"), "near-lists")
     wanted = lists.select("node").distinct()
-    sigs = classes.join(wanted, "node", "left_semi").checkpoint()
+    sigs = saved(classes.join(wanted, "node", "left_semi"), "near-candidates")
     ids = sigs.select(F.col("first_id").alias("id")).distinct()
-    sets = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sets = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
             .mapInArrow(_set_batches, "digest binary, shingles array<bigint>")
             .join(sigs.select("digest", "node", "sig"), "digest").dropDuplicates(["node"])
-            .select("node", "sig", "shingles").checkpoint())
+            .select("node", "sig", "shingles"), "near-sets")
 
-    label = sigs.select("node", F.col("node").alias("comp"))
+    label = saved(sigs.select("node", F.col("node").alias("comp")), "near-labels")
     tested = None
     for turn in range(LEADER_TURNS + 1):
         pairs = (_leader_pairs(lists, label, turn) if turn < LEADER_TURNS else _open_pairs(lists, label, sets, percent)).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        now = _tested(pairs, sets, matches, percent).checkpoint()
+        now = saved(_tested(pairs, sets, probe, percent), "near-tested")
         tested = now if tested is None else tested.union(now)
-        found = components(tested.where("linked")).withColumnRenamed("comp", "found")
-        label = sigs.select("node").join(found, "node", "left").select(
-            "node", F.coalesce("found", "node").alias("comp")).checkpoint()
-    named = classes.select("digest", "first_id", "node").join(label, "node", "left").select(
-        "digest", "first_id", F.coalesce("comp", "node").alias("comp")).checkpoint()
+        # only this turn's links, between the components so far, which they merge
+        a, b = (label.select(F.col("node").alias(x), F.col("comp").alias(f"of_{x}")) for x in "ab")
+        links = now.where("linked").join(a, "a").join(b, "b").where("of_a != of_b").select(
+            F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+        found = components(saved(links, "near-links")).select(F.col("node").alias("comp"), F.col("comp").alias("found"))
+        was, label = label, saved(label.join(found, "comp", "left").select("node", F.coalesce("found", "comp").alias("comp")), "near-labels")
+        discard(was)
+    named = saved(classes.select("digest", "first_id", "node").join(label, "node", "left").select(
+        "digest", "first_id", F.coalesce("comp", "node").alias("comp")), "near-named")
     first = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(first, "comp").select(F.col("digest").alias("of"), "component_id")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -35,20 +35,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourse.llm import textcols as T
-from bourse.llm.tokens import default_tokenizer, tokenizer
+from bourse.llm.tokens import RunTokenizer, default_tokenizer, tokenizer
 
 PIECE_DDL = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _piece_batches(path: str, capacity: int, separator: int, keep_ids: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        with tokenizer(path) as tok:
+            yield from pieces(it, tok)
+
+    def pieces(it: Iterator[pa.RecordBatch], tok: RunTokenizer) -> Iterator[pa.RecordBatch]:
         end = np.array([separator], np.uint32)
         names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
         for batch in it:
             data, off = T.column(batch, "text")
             row_id, doc_id = T.keep_columns(batch, ["row_id", "doc_id"])
-            for i, j, d, o in T.blocks(data, off, 2 << 20):
+            for i, j, d, o in T.blocks(data, off, 1 << 19):
                 texts = [np.concatenate([x, end]) for x in tok.block(d, o)]
                 n = np.array([-(-len(x) // capacity) for x in texts])
                 of = np.repeat(np.arange(j - i), n)

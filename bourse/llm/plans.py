@@ -78,8 +78,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"),
-                                  whole_diagonal=False).drop("text_key")
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +95,13 @@ l AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, ls[i] AS line
 w AS (SELECT *, list_filter(string_split_regex(
         translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
         lambda x: x <> '') AS ws FROM l),
-e AS (SELECT doc_id, line_no, ws, array_to_string(ws, ' ') AS k FROM w WHERE len(ws) >= 6),
+e AS (SELECT doc_id, line_no, ws, array_to_string(ws, ' ') AS k FROM w WHERE len(ws) >= 1),
 c AS (SELECT k, any_value(ws) AS ws, min({'d': doc_id, 'l': line_no}) AS first FROM e GROUP BY k),
 v AS (SELECT k, len(ws) AS n, first, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') AS rest
-      FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM c)),
+      FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM c WHERE len(ws) >= 6)),
 late AS (SELECT a.k FROM v a JOIN v b ON a.rest = b.rest AND a.p = b.p AND a.n = b.n WHERE a.first > b.first
-         UNION SELECT a.k FROM v a JOIN c b ON a.rest = b.k WHERE a.first > b.first
-         UNION SELECT b.k FROM v a JOIN c b ON a.rest = b.k WHERE b.first > a.first),
+         UNION SELECT a.k FROM v a JOIN c b ON a.rest = b.k AND len(b.ws) >= 6 WHERE a.first > b.first
+         UNION SELECT b.k FROM v a JOIN c b ON a.rest = b.k AND len(b.ws) >= 6 WHERE b.first > a.first),
 gone AS (SELECT e.doc_id, e.line_no FROM e JOIN c ON e.k = c.k
          WHERE e.k IN (SELECT k FROM late) OR c.first <> {'d': e.doc_id, 'l': e.line_no}),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_dropped,

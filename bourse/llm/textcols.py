@@ -1,9 +1,14 @@
 """Vectorised numpy helpers over Arrow string columns.
 
-Everything works on whole byte buffers: a block of documents (about 1 MiB of
+Everything works on whole byte buffers: a block of documents (about 256 KiB of
 text, or one longer document) is one uint8 array plus document offsets, so
 memory stays bounded whatever the batch holds, and no Python loop runs per
 word. Words and lines never cross a document border.
+
+Spans of bytes are hashed by their 8-byte pieces, each mixed with its place and
+the span's length before they are added, so no two spans collide by their
+structure. Sequences of words that must lose a word or be cut (lines) are
+polynomials modulo the prime 2^61 - 1 in random bases.
 """
 
 from __future__ import annotations
@@ -14,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
-_P = np.uint64(0x9E3779B97F4A7C15)          # odd, so it has an inverse modulo 2^64
-_PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_P = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
-_TABLE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+PRIME = (1 << 61) - 1
+_PRIME = np.uint64(PRIME)
+_BASES = [int(x) for x in np.random.default_rng(20240601).integers(1 << 32, PRIME, 2)]
+_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]   # of each base and its inverse
 
 
 def byte_table(members) -> np.ndarray:
@@ -98,36 +104,79 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _grow(n: int) -> None:
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 2 * BLOCK_BYTES)
-        for k, base in ((0, _P), (1, _PINV)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _powers[k] = np.cumprod(a)
+def fold(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo 2^61 - 1."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any span."""
-    _grow(len(data))
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers[0][:len(data)], out=c[1:])
-    return c
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1 of numbers below it, by halves of 32 bits."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    ll, mid = a0 * b0, a0 * b1 + a1 * b0
+    total = (ll & _PRIME) + (ll >> np.uint64(61)) + (mid >> np.uint64(29)) + ((mid & np.uint64((1 << 29) - 1)) << half)
+    return fold(fold(total) + ((a1 * b1) << np.uint64(3)))
+
+
+def prefix_sums(x: np.ndarray) -> np.ndarray:
+    """0 and the sums of the first 1, 2, ... numbers (below 2^61 - 1), modulo it."""
+    low, high = np.cumsum(x & np.uint64(0xFFFFFFFF)), np.cumsum(x >> np.uint64(32))
+    got = fold(fold(low) + (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)))
+    return np.concatenate([np.zeros(1, np.uint64), got])
+
+
+def _grow(n: int, base: int) -> None:
+    for k in (0, 1):
+        have = _powers[base][k]
+        x = _BASES[base] if k == 0 else pow(_BASES[base], -1, PRIME)
+        while len(have) <= n:                              # twice as many: the known ones, further on
+            have = np.concatenate([have, times(have, np.full(len(have), pow(x, len(have), PRIME), np.uint64))])
+        _powers[base][k] = have
+
 
+def powers(n: np.ndarray, base: int = 0) -> np.ndarray:
+    _grow(int(n.max()) if len(n) else 0, base)
+    return _powers[base][0][n]
 
-def raw_span(c: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Unmixed polynomial hash of data[s:e]; raw(xy) = raw(x) + raw(y) * P^len(x)."""
-    return (c[e] - c[s]) * _powers[1][s]
 
+def weighted_sums(h: np.ndarray, base: int = 0) -> np.ndarray:
+    """Prefix sums of word hashes by place, from which ``raw_span`` takes any run of words."""
+    return prefix_sums(times(fold(h), powers(np.arange(len(h)), base)))
 
-def powers(n: np.ndarray) -> np.ndarray:
-    _grow(int(n.max()) if len(n) else 0)
-    return _powers[0][n]
+
+def raw_span(c: np.ndarray, s: np.ndarray, e: np.ndarray, base: int = 0) -> np.ndarray:
+    """Polynomial of words s to e; raw(xy) = raw(x) + raw(y) * base^len(x), modulo 2^61 - 1."""
+    _grow(len(c), base)
+    return times(fold(c[e] + (_PRIME - c[s])), _powers[base][1][s])
+
+
+def joined(x: np.ndarray, y: np.ndarray, size: np.ndarray, base: int = 0) -> np.ndarray:
+    """The polynomial of x followed by y, when x has ``size`` words."""
+    return fold(x + times(y, powers(size, base)))
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """What ``span_hash`` reads: the bytes, with room for the last piece of 8."""
+    return np.concatenate([data, np.zeros(8, np.uint8)])
 
 
-def span_hash(c: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+def span_hash(padded: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """64-bit hash of data[s:e], the same for equal bytes anywhere."""
-    return mix(raw_span(c, s, e) + (e - s).astype(np.uint64) * _M2)
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    pieces = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (max(len(padded) - 7, 0), 8), (1, 1))
+    size = (e - s).astype(np.int64)
+    count = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(first, count)
+    at = np.repeat(s, count) + 8 * place
+    left = np.minimum(np.repeat(size, count) - 8 * place, 8)            # bytes of the piece that belong to the span
+    value = np.ascontiguousarray(pieces[np.minimum(at, len(pieces) - 1)]).view(np.uint64)[:, 0]
+    value &= np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.maximum(left, 1)).astype(np.uint64) * np.uint64(8))
+    value[left <= 0] = 0
+    salt = mix(place.astype(np.uint64) * _P + np.repeat(size, count).astype(np.uint64) * _M1 + np.uint64(1))
+    return mix(np.add.reduceat(mix(value ^ salt) * _M2 + salt, first))
 
 
 def gram_hash(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +186,7 @@ def gram_hash(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     g = np.zeros(n, np.uint64)
     for j in range(k):
-        g = g * _P + h[j:j + n]
+        g = mix(g * _P + h[j:j + n])
     at = np.flatnonzero(doc[:n] == doc[k - 1:])
     return mix(g[at]), at
 

@@ -1,4 +1,4 @@
-"""Token ids of whole texts, by a published tokenizer with a per-worker word cache.
+"""Token ids of whole texts, by a published tokenizer with a word cache per task.
 
 The tokenizer (``word_bpe_49k.json``: NFC, lower case, runs of letters, single
 digits, runs of other characters, each run merged on its own) gives a run the
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -22,7 +24,7 @@ from bourse.llm import textcols as T
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 LIMIT = 0x250
-CACHE_RUNS = 400_000
+CACHE_RUNS = 100_000
 
 
 def default_tokenizer() -> str:
@@ -51,7 +53,7 @@ _KIND_BYTE[:128] = KIND[:128]
 
 
 class RunTokenizer:
-    """Tokenizer of blocks of texts; one per worker."""
+    """Tokenizer of blocks of texts."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -167,11 +169,12 @@ class RunTokenizer:
         return out
 
 
-_ready: dict[str, RunTokenizer] = {}
-
-
-def tokenizer(path: str) -> RunTokenizer:
-    """The worker's tokenizer for a file; its cache lives as long as the worker."""
-    if path not in _ready:
-        _ready[path] = RunTokenizer(path)
-    return _ready[path]
+@contextmanager
+def tokenizer(path: str) -> Iterator[RunTokenizer]:
+    """A tokenizer for one task. It goes with the task, and so does what it has learnt: a
+    worker that later tasks use again keeps neither (a load takes tenths of a second)."""
+    one = RunTokenizer(path)
+    try:
+        yield one
+    finally:
+        one.__dict__.clear()

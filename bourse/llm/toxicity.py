@@ -26,6 +26,7 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,7 @@ REPORTING = set("said says quote quoted quotes called wrote term word slur sagte
 ADDRESS = set("you your yours youre u dich dein deine ihr euch toi ton vous votre eres tu usted".split())
 QUOTES = "\"“”„«»‘’"
 FEATURES = 6
+MOST_STATES = 20_000       # of an automaton; a call adds those of its own words
 
 
 def lower_words(d: np.ndarray) -> np.ndarray:
@@ -76,6 +78,10 @@ class Automaton:
                 node = self.children[node][c]
                 self.room[node] = max(self.room[node], room)
             self.term[node] = t
+        self._fresh()
+
+    def _fresh(self) -> None:
+        """No states but the dead one and the start."""
         self.ids: dict[tuple, int] = {}
         self.sets: list[dict[int, int]] = []
         self.best: list[tuple[int, int]] = []              # (term or -1, edits) of a word that ends here
@@ -116,7 +122,9 @@ class Automaton:
         return self._state(out)
 
     def match(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Term (-1: none) and edits of every word."""
+        """Term (-1: none) and edits of every word. States beyond MOST_STATES are dropped between calls."""
+        if len(self.sets) > MOST_STATES:
+            self._fresh()
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         size = int(codes.max()) + 1 if len(codes) else 1
         lookup = np.zeros(max(size, 1), np.int32)
@@ -153,7 +161,8 @@ _ready: dict[tuple, tuple] = {}
 
 
 def _matcher(model: dict) -> tuple[Automaton, set[str]]:
-    key = (tuple(model["terms"]), len(model["ordinary"]))
+    told = "\0".join([*model["terms"], "\1", *map(repr, model["weights"]), "\1", *sorted(model["ordinary"])])
+    key = (hashlib.blake2b(told.encode(), digest_size=16).digest(),)
     if key not in _ready:                                  # kept between the tasks of one worker
         _ready.clear()
         _ready[key] = (Automaton(model["terms"], model["weights"]), set(model["ordinary"]))

@@ -111,7 +111,7 @@ def brute_lines(rows, min_words=6):
     for i, t in rows:
         for n, line in enumerate(t.split("\n") if t is not None else []):
             ws = tuple(WORD.findall(lower(line)))
-            if len(ws) >= min_words:
+            if ws:
                 at = (i is None, i or 0, n)
                 place[ws] = min(place.get(ws, at), at)
     def near(x, y):
@@ -121,7 +121,7 @@ def brute_lines(rows, min_words=6):
         if len(x) == len(y):
             return sum(a != b for a, b in zip(x, y, strict=True)) == 1
         return any(y[:k] + y[k + 1:] == x for k in range(len(y)))
-    late = {x for x in place for y in place if x != y and place[y] < place[x] and near(x, y)}
+    late = {x for x in place for y in place if x != y and min(len(x), len(y)) >= min_words and place[y] < place[x] and near(x, y)}
     for i, t in rows:
         if t is None:
             where.append((i, None))
@@ -129,7 +129,7 @@ def brute_lines(rows, min_words=6):
         keep = []
         for n, line in enumerate(t.split("\n")):
             ws = tuple(WORD.findall(lower(line)))
-            if len(ws) < min_words or (ws not in late and place[ws] == (i is None, i or 0, n)):
+            if not ws or (ws not in late and place[ws] == (i is None, i or 0, n)):
                 keep.append(line)
         where.append((i, "\n".join(keep)))
     return sorted(where, key=str)
@@ -175,7 +175,8 @@ def test_contamination_slots(spark):
                                   "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.kind for r in D.contamination(docs, bench).collect()}
     assert got[1, 70] == "verbatim" and got[2, 70] == "reparameterised" and got[None, 70] == "verbatim"
-    assert (3, 70) not in got and (5, 70) not in got and (8, 70) not in got
+    assert got[3, 70] == "reparameterised"                   # its other windows hold, whatever one value does
+    assert (5, 70) not in got and (8, 70) not in got
     left = sorted(((r.doc_id, r.text) for r in D.decontaminate(docs, bench).collect()), key=str)
     assert (1, "another text") in left and (6, None) in left and len(left) == docs.count() - len({k[0] for k in got})
 
@@ -209,8 +210,7 @@ def test_contamination_checks_placeholders_per_window(spark):
         (1, ITEM.replace("12 apples", "40 apples")), (2, ITEM.replace("3 dollars", "4 dollars").replace("5 dollars", "4 dollars")),
         (3, "Nothing of the kind stands in this clean text at all.")], "doc_id long, text string")
     bench = spark.createDataFrame([(70, ITEM)], "item_id long, text string")
-    assert {r.doc_id for r in D.contamination(docs, bench).collect()} == {2}
-    assert {r.doc_id for r in D.contamination(docs, bench, whole_diagonal=False).collect()} == {1, 2}
+    assert {r.doc_id for r in D.contamination(docs, bench).collect()} == {1, 2}
 
 
 def test_registered_decontamination_checks_placeholders_per_window(spark, tmp_path):
@@ -231,10 +231,9 @@ def test_contamination_word_for_word(spark):
         (1, f"see {numbers} end"), (2, f"It says {names} now"), (3, "And then: What is love? Nobody knows"), (4, "one two three Paris"),
         (5, "what love is nobody knows here " + " ".join(numbers.split()[::-1]))], "doc_id long, text string")
     bench = spark.createDataFrame([(80, numbers), (81, names), (82, "what is love"), (83, "Paris")], "item_id long, text string")
-    for whole in (True, False):
-        got = {(r.doc_id, r.item_id): r for r in D.contamination(docs, bench, whole_diagonal=whole).collect()}
-        assert set(got) == {(1, 80), (2, 81), (3, 82), (4, 83)}
-        assert all(r.kind == "verbatim" and r.coverage == 1 for r in got.values())
+    got = {(r.doc_id, r.item_id): r for r in D.contamination(docs, bench).collect()}
+    assert set(got) == {(1, 80), (2, 81), (3, 82), (4, 83)}
+    assert all(r.kind == "verbatim" and r.coverage == 1 for r in got.values())
 
 
 def test_contamination_long_runs_of_long_items(spark):
@@ -244,9 +243,8 @@ def test_contamination_long_runs_of_long_items(spark):
         (1, "before " + " ".join(item[100:190]) + " after"), (2, " ".join(item[40:70])), (3, " ".join(item[40:69])),
         (4, " x ".join(" ".join(item[30 * k:30 * k + 15]) for k in range(6)))], "doc_id long, text string")
     bench = spark.createDataFrame([(90, " ".join(item))], "item_id long, text string")
-    for whole in (True, False):
-        got = {r.doc_id: (r.matched, r.n_windows, r.kind) for r in D.contamination(docs, bench, whole_diagonal=whole).collect()}
-        assert got == {1: (83, 293, "verbatim"), 2: (23, 293, "verbatim")}
+    got = {r.doc_id: (r.matched, r.n_windows, r.kind) for r in D.contamination(docs, bench).collect()}
+    assert got == {1: (83, 293, "verbatim"), 2: (23, 293, "verbatim")}
 
 
 def test_short_lines_go_as_exact_copies(spark):
@@ -260,5 +258,5 @@ def test_short_lines_go_as_exact_copies(spark):
         (2, f"mit  LICENSE.\n\n{url}\n中文的一行没有空格\none two three four six\n{two}\nown words"), (3, "own words\nmore")],
         "doc_id long, text string")
     want = {1: docs.first().text, 2: "\n\none two three four six\nown words".removeprefix("\n"), 3: "more"}
-    assert {r.doc_id: r.text for r in LN.dedup_lines(docs, exact_words=1).collect()} == want
+    assert {r.doc_id: r.text for r in LN.dedup_lines(docs).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == want

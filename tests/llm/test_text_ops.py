@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bourse.llm import license as L
+from bourse.llm import lines as LN
 from bourse.llm import quality as Q
 from bourse.llm import rules as R
 from bourse.llm import textcols as T
@@ -222,3 +223,71 @@ def test_span_hash_is_place_independent():
     s, e = T.spans(T.NOT_SPACE[d], o)
     h = T.span_hash(T.prefix_hash(d), s, e)
     assert h[0] == h[2] == h[3] != h[1]
+
+
+def thue_morse(n, a, b):
+    x, y = [a], [b]
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_structured_words_and_lines_do_not_collide():
+    """abba... and baab... agree in any polynomial modulo a power of two."""
+    x, y = ("".join(v) for v in thue_morse(1024, "a", "b"))
+    d, o = block([f"{x} {y}"])
+    s, e = T.spans(T.NOT_SPACE[d], o)
+    h = T.span_hash(T.prefix_hash(d), s, e)
+    assert h[0] != h[1]
+    d, o = block(["\n".join(" ".join(v) for v in thue_morse(2048, "yes", "no"))])
+    got = LN.BlockLines(d, o, 1)
+    la, lb = got.line_hash()
+    assert la[0] != la[1] and lb[0] != lb[1]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=12))
+def test_span_hash_tells_spans_apart(parts):
+    d = np.frombuffer(b"".join(parts), np.uint8)
+    e = np.cumsum([len(p) for p in parts])
+    h = T.span_hash(T.prefix_hash(d), e - [len(p) for p in parts], e)
+    assert len(set(h.tolist())) == len(set(parts))
+    assert all(h[parts.index(p)] == x for p, x in zip(parts, h, strict=True))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=2, max_size=30), st.data())
+def test_polynomials_lose_a_word(words, data):
+    h = np.array(words, np.uint64)
+    k = data.draw(st.integers(0, len(words) - 1))
+    ends = lambda *x: [np.array([v]) for v in x]
+    for base in (0, 1):
+        c = T.weighted_sums(h, base)
+        got = T.joined(T.raw_span(c, *ends(0, k), base), T.raw_span(c, *ends(k + 1, len(h)), base), np.array([k]), base)
+        rest = np.delete(h, k)
+        assert got[0] == T.raw_span(T.weighted_sums(rest, base), *ends(0, len(rest)), base)[0]
+        want = sum(int(w) % T.PRIME * pow(T._BASES[base], j, T.PRIME) for j, w in enumerate(rest)) % T.PRIME
+        assert got[0] == want
+
+
+def test_models_do_not_share_an_automaton():
+    one = {"terms": ["stupid"], "weights": [4.0], "ordinary": ["stumpid"]}
+    other = one | {"ordinary": ["something"]}
+    assert not X.features(*block(["a stumpid thing"]), one)[0].any()
+    assert X.features(*block(["a stumpid thing"]), other)[0].any()
+
+
+def test_automaton_states_are_bounded(monkeypatch):
+    monkeypatch.setattr(X, "MOST_STATES", 50)
+    rng = np.random.default_rng(2)
+    terms = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(40)]
+    bounded, free = X.Automaton(terms, [1.0] * 40), X.Automaton(terms, [1.0] * 40)
+    monkeypatch.setattr(X, "MOST_STATES", 10**9)
+    for _ in range(12):
+        words = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(30)] + terms[:2]
+        monkeypatch.setattr(X, "MOST_STATES", 50)
+        a = bounded.match(words)
+        monkeypatch.setattr(X, "MOST_STATES", 10**9)
+        b = free.match(words)
+        assert all((p == q).all() for p, q in zip(a, b, strict=True))
+    assert len(bounded.sets) < len(free.sets) / 2
