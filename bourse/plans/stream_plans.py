@@ -33,16 +33,14 @@ def _land_news(spark: SparkSession, sf: str) -> str:
     "FROM (SELECT * FROM bars_base UNION ALL SELECT * FROM bars_delta)) WHERE rn = 1",
     "bars_base", "bars_delta"))
 def q_stream_upsert_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-1: two landings of bar files, upserted micro-batch by micro-batch, compacted in between."""
+    """STR-1: two landings of bar files, upserted micro-batch by micro-batch, each compacted in its level."""
     landing, out = scratch_path(spark, "bars-landing"), scratch_path(spark, "bars-stream-out")
     progress, compacted = scratch_path(spark, "bars-stream-ckpt"), scratch_path(spark, "bars-compacted")
-    upto = -1
     for part in (X.bars_base(spark, sf), X.bars_delta(spark, sf)):
         part.withColumn("batch", F.col("batch").cast("int")).write.mode("append").parquet(landing)
         ST.stream_upsert_bars(spark, landing, out, progress, files_per_batch=FILES_PER_BATCH)
-        if upto < 0:
-            upto = ST.compact_upserted_bars(spark, out, compacted)
-    return ST.read_upserted_bars(spark, out, compacted, upto)
+        ST.compact_upserted_bars(spark, out, compacted)
+    return ST.read_upserted_bars(spark, out, compacted)
 
 
 @register("stream_news_mood", W(

@@ -1,8 +1,8 @@
 """File sources and sinks (SRC-1..8, SNK-1 writing part).
 
-Every reader declares its schema (no inference pass, no drift). Writers
-never overwrite a path that is being read: each store version goes to a
-new folder and readers are pointed at it afterwards.
+Every reader declares its schema (no inference pass, no drift). Writers of the
+bar store never overwrite a path that is being read: a version goes to new
+folders, and readers are pointed at it in one step afterwards (``versions``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bourse.operators.market import keep_last_per_key
+from bourse.sources.versions import publish, published, remove
 
 COMPANY_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
@@ -135,33 +136,66 @@ def _yearly(bars: DataFrame) -> DataFrame:
     return bars.withColumn("year", F.year("trade_date"))
 
 
-def write_yearly_store(bars: DataFrame, path: str) -> str:
-    """SNK-1 store: bars by symbol and year, newest first inside a file."""
+def _write_version(bars: DataFrame, path: str, version: int) -> None:
+    """Folders of one version: newest first inside a file. An unpublished try of the same number is replaced."""
     n = bars.sparkSession.sparkContext.defaultParallelism
-    (_yearly(bars).repartitionByRange(n, "symbol", "year").sortWithinPartitions("symbol", "year", F.desc("trade_date"))
-     .write.mode("overwrite").partitionBy("symbol", "year").parquet(path))
+    (bars.repartitionByRange(n, "symbol", "year").sortWithinPartitions("symbol", "year", F.desc("trade_date"))
+     .write.mode("overwrite").partitionBy("symbol", "year").parquet(f"{path}/data/version={version}"))
+
+
+def _publish_folders(folders: DataFrame, path: str, version: int, after: int) -> None:
+    """One row a folder and the version that holds it; then the one step that readers see."""
+    folders.select("symbol", "year", "version").write.mode("overwrite").parquet(f"{path}/folders/version={version}")
+    publish(folders.sparkSession, path, {"version": version}, after)
+
+
+def write_yearly_store(bars: DataFrame, path: str) -> str:
+    """SNK-1 store: bars by symbol and year, as a new version that replaces whatever was there."""
+    after, _ = published(bars.sparkSession, path)
+    version, rows = after + 1, _yearly(bars)
+    _write_version(rows, path, version)
+    _publish_folders(rows.select("symbol", "year").distinct().withColumn("version", F.lit(version)), path, version, after)
     return path
 
 
+def _folders(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    after, state = published(spark, path)
+    if state is None:
+        raise ValueError(f"no store at {path}")
+    return after, spark.read.schema("symbol string, year int, version int").parquet(f"{path}/folders/version={state['version']}")
+
+
 def read_yearly_store(spark: SparkSession, path: str) -> DataFrame:
-    year = T.StructField("year", T.IntegerType())
-    return spark.read.schema(T.StructType([*BAR_SCHEMA.fields, year])).parquet(path)
+    """The published store: of every (symbol, year) the folder of the version that holds it."""
+    kinds = T.StructType([*BAR_SCHEMA.fields, T.StructField("year", T.IntegerType()), T.StructField("version", T.IntegerType())])
+    _, folders = _folders(spark, path)
+    return spark.read.schema(kinds).parquet(f"{path}/data").join(folders, ["symbol", "year", "version"]).select(
+        *[f.name for f in BAR_SCHEMA.fields], "year")
 
 
 def upsert_yearly_store(spark: SparkSession, path: str, delta: DataFrame) -> None:
     """SNK-1: rewrite only the (symbol, year) folders that ``delta`` touches.
 
     ``delta`` has a ``batch`` column above 0; the stored rows of the touched
-    folders are read, merged (the last arrival wins), checkpointed (the folders
-    are about to be replaced) and written by dynamic partition overwrite.
+    folders are read and merged (the last arrival wins) into folders of a new
+    version, beside the old ones. Readers see them all at once, when the version is
+    published; a job that fails before leaves the store as it was.
     """
-    new = _yearly(delta)
-    touched = new.select("symbol", "year").distinct()
+    after, folders = _folders(spark, path)
+    version, new = after + 1, _yearly(delta)
+    touched = new.select("symbol", "year").distinct().checkpoint()
     old = read_yearly_store(spark, path).join(touched, ["symbol", "year"], "left_semi").withColumn("batch", F.lit(0))
-    merged = keep_last_per_key(old.unionByName(new.select(*old.columns)), ["symbol", "trade_date"]).drop("batch").checkpoint()
-    n = spark.sparkContext.defaultParallelism
-    (merged.repartitionByRange(n, "symbol", "year").sortWithinPartitions("symbol", "year", F.desc("trade_date"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "year").parquet(path))
+    merged = keep_last_per_key(old.unionByName(new.select(*old.columns)), ["symbol", "trade_date"]).drop("batch")
+    _write_version(merged, path, version)
+    kept = folders.join(touched, ["symbol", "year"], "left_anti")
+    _publish_folders(kept.unionByName(touched.withColumn("version", F.lit(version))), path, version, after)
+
+
+def compact_yearly_store(spark: SparkSession, path: str) -> None:
+    """All folders as one new version; the versions before the published one are removed."""
+    after, _ = published(spark, path)
+    write_yearly_store(read_yearly_store(spark, path).drop("year"), path)
+    remove(spark, [f"{path}/{kind}/version={v}" for v in range(1, after + 1) for kind in ("data", "folders")])
 
 
 def read_bar_store(spark: SparkSession, path: str) -> DataFrame:

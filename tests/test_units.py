@@ -194,14 +194,14 @@ def test_upsert_leaves_untouched_folders_alone(spark):
     local = path.removeprefix("file:")
 
     def files():
-        return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{local}/symbol=*/year=*/*.parquet")}
+        return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{local}/data/version=*/symbol=*/year=*/*.parquet")}
 
     before = files()
     S.upsert_yearly_store(spark, path, bars([("A", day(2024, 5, 1), 9.0), ("A", day(2024, 5, 2), 8.0)])
                           .selectExpr("*", "1 AS batch"))
     after = files()
-    same = {f for f in before if after.get(f) == before[f]}
-    assert {f.split("symbol=")[1].rsplit("/", 1)[0] for f in same} == {"A/year=2023", "B/year=2024"}
+    assert before.items() <= after.items()                # nothing is overwritten, only the touched folder is written anew
+    assert {f.split("symbol=")[1].rsplit("/", 1)[0] for f in set(after) - set(before)} == {"A/year=2024"}
     got = sorted((r.symbol, r.trade_date, r.close) for r in S.read_yearly_store(spark, path).collect())
     assert got == [("A", day(2023, 5, 1), 1.0), ("A", day(2024, 5, 1), 9.0), ("A", day(2024, 5, 2), 8.0), ("B", day(2024, 5, 1), 3.0)]
 
@@ -232,3 +232,134 @@ def test_summary_length_bounds(spark):
     df = spark.createDataFrame([(1, ". ".join(f"{words} s{k}" for k in range(6)) + ".")], "doc_id long, text string")
     n = extractive_summary(df).first().summary_tokens
     assert 55 <= n <= 80
+
+
+# ---------------------------------------------------------------- published states and streams
+def store_rows(spark, rs):
+    from bourse.sources import files as S
+
+    return spark.createDataFrame([(d, c, c, c, c, 1, c, s) for s, d, c in rs], S.BAR_SCHEMA)
+
+
+def store_closes(spark, path):
+    from bourse.sources import files as S
+
+    return sorted((r.symbol, r.trade_date, r.close) for r in S.read_yearly_store(spark, path).collect())
+
+
+def test_store_shows_an_upsert_in_one_step(spark, monkeypatch):
+    from bourse.sources import files as S
+
+    day = dt.date
+    path = S.write_yearly_store(store_rows(spark, [("A", day(2023, 5, 1), 1.0), ("B", day(2024, 5, 1), 3.0)]),
+                                scratch_path(spark, "t-atomic"))
+    before = store_closes(spark, path)
+    delta = store_rows(spark, [("A", day(2023, 5, 1), 9.0), ("B", day(2024, 5, 1), 9.0)]).selectExpr("*", "1 AS batch")
+
+    def fails(*_):
+        raise OSError("the job dies before it publishes")
+
+    with monkeypatch.context() as m:
+        m.setattr(S, "publish", fails)
+        with pytest.raises(OSError):
+            S.upsert_yearly_store(spark, path, delta)
+    assert store_closes(spark, path) == before            # all folders were written, none is seen
+    S.upsert_yearly_store(spark, path, delta)
+    assert [c for _, _, c in store_closes(spark, path)] == [9.0, 9.0]
+    S.compact_yearly_store(spark, path)
+    assert [c for _, _, c in store_closes(spark, path)] == [9.0, 9.0]
+
+
+def test_only_one_writer_publishes(spark):
+    from bourse.sources.versions import publish, published
+
+    folder = scratch_path(spark, "t-published")
+    assert published(spark, folder) == (0, None)
+    assert publish(spark, folder, {"x": 1}, 0) == 1
+    with pytest.raises(RuntimeError):
+        publish(spark, folder, {"x": 2}, 0)
+    assert published(spark, folder) == (1, {"x": 1})
+
+
+def test_compaction_reads_new_batches_only(spark):
+    import glob
+
+    from bourse.sources.versions import published
+    from bourse.streaming import streams as ST
+
+    landing, out, progress, compacted = (scratch_path(spark, f"t-lsm-{x}") for x in "abcd")
+    want, levels = {}, []
+    for k in range(9):
+        rows = [("A", dt.date(2024, 1, d), float(100 * k + d)) for d in range(1 + k, 4 + k)]
+        store_rows(spark, rows).selectExpr("symbol", "trade_date", "high", "low", "open", "close", "volume", "value",
+                                           f"{k} AS batch").coalesce(1).write.mode("append").parquet(landing)
+        want |= {d: c for _, d, c in rows}
+        ST.stream_upsert_bars(spark, landing, out, progress)
+        _, state = published(spark, compacted)
+        newer = ST._landed_since(spark, out, state["upto"] if state else -1)
+        assert newer.count() == 3                          # a compaction's share of the landing: this batch's rows
+        ST.compact_upserted_bars(spark, out, compacted)
+        levels.append([r["level"] for r in published(spark, compacted)[1]["runs"]])
+        got = {r.trade_date: r.close for r in ST.read_upserted_bars(spark, out, compacted).collect()}
+        assert got == want
+    assert levels[2] == [0, 0, 0] and levels[3] == [1] and levels[8] == [1, 1, 0]
+    assert len(glob.glob(compacted.removeprefix("file:") + "/run-*")) <= 3 + ST.FAN_IN
+    assert ST.compact_upserted_bars(spark, out, compacted) == published(spark, compacted)[1]["upto"]
+
+
+def news_item(i, symbol, at, link="l", label="Positive"):
+    return (i, symbol, f"title {i}", link, "m", None if at is None else dt.datetime(2024, 1, at, 10), label)
+
+
+def land(spark, folder, rows):
+    from bourse.sources import files as S
+
+    (spark.createDataFrame(rows, S.NEWS_ITEM_SCHEMA).coalesce(1).write.mode("append")
+     .option("timestampNTZFormat", S.TS_FORMAT).json(folder))
+
+
+def test_mood_stream_keeps_late_and_undated_items(spark):
+    import json
+
+    from bourse.streaming import streams as ST
+
+    landing, out, progress = (scratch_path(spark, f"t-mood-{x}") for x in "abc")
+    runs = [
+        [[news_item(1, "A", 1), news_item(2, "A", 1, label="Negative"), news_item(3, "A", None)], [news_item(4, "A", 20)]],
+        [[news_item(5, "A", 1), news_item(6, "B", 2, label="Neutral"), news_item(7, "A", 19)], [news_item(8, "A", 20, label="Negative")]],
+        [[news_item(9, "A", None), news_item(10, "A", 1, label="Negative"), news_item(11, "A", 21)]],
+    ]
+    every = []
+    for run in runs:
+        for batch in run:
+            land(spark, landing, batch)
+            every += batch
+            got = ST.stream_news_mood(spark, landing, out, progress, 1, delay="3 days")
+    want = {}
+    for _, s, _, _, _, at, label in every:
+        n = want.setdefault((s, at and at.date()), [0, 0])
+        n[0] += {"Positive": 1, "Neutral": 0, "Negative": -1}[label]
+        n[1] += 1
+    assert {(r.symbol, r.day): (r.mood, r.items) for r in got.collect()} == {
+        k: (round(t / n, 6), n) for k, (t, n) in want.items()}
+    # late days are in the side table, and not in the state any more
+    side = spark.read.parquet(*ST.published(spark, f"{out}/side")[1]["runs"]).collect()
+    assert sum(r["items"] for r in side if r["day"] == dt.date(2024, 1, 1)) == 2 and sum(r["items"] for r in side) == 5
+    state = spark.read.format("statestore").load(f"{progress}/days")
+    days = {r["key"][1]["start"].day for r in state.collect()}
+    assert days == {19, 20, 21}, json.dumps(sorted(days))
+
+
+def test_first_seen_stream_lands_new_links_only(spark):
+    from bourse.streaming import streams as ST
+
+    landing, out, progress = (scratch_path(spark, f"t-seen-{x}") for x in "abc")
+    land(spark, landing, [news_item(1, "A", 5, "x"), news_item(2, "A", 4, "x"), news_item(3, "A", None, "y"), news_item(4, "B", 7, None)])
+    ST.stream_first_seen_news(spark, landing, out, progress, 1)
+    first = {f for f in spark.read.parquet(out).inputFiles()}
+    land(spark, landing, [news_item(5, "A", 4, "x"), news_item(6, "A", 9, "y"), news_item(7, "B", 7, None), news_item(8, "C", 1, "z"),
+                          news_item(9, "C", None, "z")])
+    got = ST.stream_first_seen_news(spark, landing, out, progress, 1)
+    assert {(r.link, r.doc_id) for r in got.collect()} == {("x", 2), ("y", 6), (None, 4), ("z", 8)}
+    later = spark.read.parquet(*[f for f in spark.read.parquet(out).inputFiles() if f not in first]).collect()
+    assert {(r.link, r.doc_id) for r in later} == {("y", 6), ("z", 8)}          # an earlier item, and a new link
