@@ -214,10 +214,14 @@ _WINDOW_SQL = ("win AS (SELECT b.* FROM training_bars b JOIN (SELECT symbol, max
 def q_projection_reply(spark: SparkSession, sf: str) -> DataFrame:
     """FLT-2 + WIN-1 + WIN-6 + AGG-3 + SNK-6: the last 100 calendar days of every
     symbol, their lag features, the forecast, and the chart series beside the score."""
+    return projection(spark, sf, FC.LagMeanModel(DAY))
+
+
+def projection(spark: SparkSession, sf: str, model) -> DataFrame:
+    """The projection reply by any price model."""
     b = X.training_bars(spark, sf)
     last = b.groupBy("symbol").agg(F.max("trade_date").alias("last_date"))
     recent = b.join(last, "symbol").where(F.col("trade_date") > F.date_sub("last_date", REPLY_DAYS)).drop("last_date")
-    model = FC.LagMeanModel(DAY)
     ins = FC.score_prices(model, FC.lag_features(recent, DAY)).checkpoint()
     chart = FC.chart_series(FC.append_forecast(ins, FC.recursive_forecast(model, ins, FC.HORIZON, DAY)))
     score = FC.multi_target_r2(ins, ["symbol"]).select("symbol", F.col("r2").alias("score"))

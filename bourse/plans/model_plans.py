@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from bourse.operators import classify as C
 from bourse.operators import forecast as FC
 from bourse.operators import linear as L
+from bourse.operators import market as M
 from bourse.operators import neighbours as NB
+from bourse.operators import news as N
 from bourse.operators import prep as PR
 from bourse.operators import text as TX
 from bourse.operators.evaluate import accuracy, confusion_counts
 from bourse.operators.ordering import exact_split
 from bourse.plans import forecast_plans as FP
+from bourse.plans import news_plans as NP
 from bourse.plans import profile_plans as PP
 from bourse.plans.registry import register
 from bourse.session import checkpoint_dir, scratch_path
@@ -70,6 +73,12 @@ def q_forecast_gbt(spark: SparkSession, sf: str) -> DataFrame:
     return FC.recursive_forecast(model, FC.score_prices(model, FP._features(spark, sf)))
 
 
+@register("projection_trained")
+def q_projection_trained(spark: SparkSession, sf: str) -> DataFrame:
+    """The projection reply with the trained price model instead of the lag mean."""
+    return FP.projection(spark, sf, fitted_prices(spark, sf))
+
+
 # ---------------------------------------------------------------- sentiment
 def _sentiment_split(spark: SparkSession, sf: str) -> DataFrame:
     return exact_split(X.sentences(spark, sf), "doc_id", SEED, 0.8)
@@ -93,6 +102,20 @@ def q_predict_sentiment(spark: SparkSession, sf: str) -> DataFrame:
         .select("doc_id", "predicted")
 
 
+@register("news_reply_trained")
+def q_news_reply_trained(spark: SparkSession, sf: str) -> DataFrame:
+    """UDF-1 + JOI-3 + AGG-2 + SNK-3: request -> company -> its headlines, labelled by the trained model
+    first, the mood over these labels, one reply per request; an unknown one gets the placeholder."""
+    s = _sentiment_split(spark, sf)
+    model = C.train_sentiment(s.where(F.col("split") == "train"))
+    labelled = C.predict_sentiment(model, NP._ranked(spark, sf).withColumn("text", F.coalesce("title", F.lit(""))))
+    resolved = M.company_lookup(NP._requests(spark, sf), X.companies(spark, sf))
+    items = N.company_news(resolved, N.clean_headlines(labelled.drop("text"), predictor=lambda _t: F.col("predicted")))
+    names = resolved.select(F.col("request").alias("symbol"), F.when(F.col("company_name") == "na", F.col("request"))
+                            .otherwise(F.col("company_name")).alias("name"))
+    return N.news_reply(items, names)
+
+
 @register("save_load_model", W("SELECT count(*) AS n, count(*) AS n_equal FROM sentences", "sentences"))
 def q_save_load_model(spark: SparkSession, sf: str) -> DataFrame:
     """SNK-2: a saved and reloaded pipeline predicts exactly as the original."""
@@ -195,13 +218,18 @@ def q_compare_sampling(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- quality metrics
 @register("quality_metrics")
 def q_quality_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-4: forecast R² (held-out symbols), sentiment accuracy, summary
-    precision, appended to a metrics table; returns the table."""
-    r2 = FP.q_evaluate_prices(spark, sf).agg(F.avg("r2").alias("value")).select(F.lit("forecast_r2").alias("name"), "value")
+    """SNK-4: R² of the trained price model (held-out symbols), accuracy of the trained sentiment
+    model (held-out texts) and precision of the summaries, appended to a metrics table; returns this run's rows."""
+    r2 = q_train_price_model(spark, sf).agg(F.avg("r2").alias("value")).select(F.lit("forecast_r2").alias("name"), "value")
     acc = q_train_sentiment(spark, sf).select(F.lit("sentiment_accuracy").alias("name"), F.col("accuracy").alias("value"))
     # The reference scores (prediction, summary) in swapped order, so its
-    # "precision" is overlap / reference length, i.e. our recall (Q9).
-    rouge = TX.rouge_n(X.pairs(spark, sf), ["conv_id", "turn"], 1) \
+    # "precision" is overlap / reference length, i.e. our recall (Q9). The text to
+    # sum up is a turn, the true summary its answer.
+    pairs = X.pairs(spark, sf).withColumn("pair", F.concat_ws("-", "conv_id", "turn"))
+    made = TX.extractive_summary(pairs, "pair", "reference_text").select("pair", F.col("summary").alias("made"))
+    scored = pairs.join(made, "pair").select("conv_id", "turn", F.col("candidate_text").alias("reference_text"),
+                                             F.col("made").alias("candidate_text"))
+    rouge = TX.rouge_n(scored, ["conv_id", "turn"], 1) \
         .agg(F.avg("recall").alias("value")).select(F.lit("summary_precision").alias("name"), "value")
     m = r2.unionByName(acc).unionByName(rouge).withColumn("as_of", F.current_timestamp())
     # one table for all runs: a later run's rows are added to it
