@@ -186,4 +186,4 @@ def test_pipeline_stages(spark, odd_docs):
 
 def test_every_operator_is_registered():
     numbers = {int(n[2:].split("_")[0]) for n in plans.QUERIES if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in plans.QUERIES
+    assert numbers == set(range(1, 14)) and "pipeline" in plans.QUERIES
