@@ -23,7 +23,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # what a task and its Python worker each hold of whole texts at a time
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
