@@ -177,7 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min
     hits = (docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"),
                         F.col("text").cast("string"))
             .withColumn("text_key", F.xxhash64("text"))
-            .mapInArrow(_hit_batches(sizes, bits),
+            .mapInArrow(T.released(_hit_batches(sizes, bits)),
                         "row_id long, doc_id long, text_key long, pos int, hash long, slots array<bigint>"))
     literal_pos = F.when(F.col("literal"), F.col("item_pos"))
     total = items.groupBy("item_row").agg(F.countDistinct("item_pos").alias("n"), F.countDistinct(literal_pos).alias("n_literal"))

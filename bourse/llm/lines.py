@@ -178,7 +178,7 @@ def _line_table(docs: DataFrame, min_words: int, exact_words: int) -> DataFrame:
     """Eligible lines of every document row, with place and hashes."""
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn(
         "text_key", F.xxhash64("text"))
-    return saved(cols.mapInArrow(_line_batches(min_words, exact_words), LINE_DDL), "lines")
+    return saved(cols.mapInArrow(T.released(_line_batches(min_words, exact_words)), LINE_DDL), "lines")
 
 
 def _place() -> Column:
@@ -195,12 +195,12 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFram
     chosen = saved(sides.join(distinct.select("node", "la", "lb", "first"), "node").drop("node"), "line-candidates")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap.build(chosen, F.col("la")))   # 2 MB at any size
     words = docs.select(F.col("text").cast("string")).mapInArrow(
-        _text_batches(min_words, bits), "la long, lb long, words string").dropDuplicates(["la", "lb"])
+        T.released(_text_batches(min_words, bits)), "la long, lb long, words string").dropDuplicates(["la", "lb"])
     # numbered in the order of their places, so a smaller number is an earlier line
     texts = saved(words.join(chosen, ["la", "lb"]).orderBy("first", "la", "lb")
                   .withColumn("line", F.monotonically_increasing_id()), "line-words")
     posts = saved(texts.select("words", "line", "lo", "hi").repartition("line").mapInArrow(
-        _variant_batches, "key long, kind int, line long"), "line-variants")
+        T.released(_variant_batches), "key long, kind int, line long"), "line-variants")
     placed = posts.where("kind = 0").select("key", "line")
     heads = placed.groupBy("key").agg(F.min("line").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     replaced = placed.join(heads, "key").select(F.col("line").alias("x"), F.col("head").alias("y"))
@@ -239,7 +239,9 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
             return t
         g = set(g)
         return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g)
-    return pd.Series([cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+    out = pd.Series([cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+    T.release()
+    return out
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 6, exact_words: int = 1,

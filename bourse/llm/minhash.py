@@ -124,7 +124,7 @@ def _set_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame, coordinates: int) -> DataFrame:
     """doc_id, hash of the text, set size, set digest (null without a word) and signature of each row."""
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return cols.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signer(coordinates), SIG_DDL)
+    return cols.withColumn("text_key", F.xxhash64("text")).mapInArrow(T.released(_signer(coordinates)), SIG_DDL)
 
 
 def least_matches(threshold: float, coordinates: int, miss: float = 1e-6) -> int:
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, coordinates: int
     ids = sigs.select(F.col("first_id").alias("id")).distinct()
     sets = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-            .mapInArrow(_set_batches, "digest binary, shingles array<bigint>")
+            .mapInArrow(T.released(_set_batches), "digest binary, shingles array<bigint>")
             .join(sigs.select("digest", "node", "sig"), "digest").dropDuplicates(["node"])
             .select("node", "sig", "shingles"), "near-sets")
 

@@ -73,7 +73,7 @@ def token_pieces(docs: DataFrame, *, path: str | None = None, capacity: int = 40
     """Pieces of every row of ``docs``; ``keep_ids`` adds the ids themselves."""
     return (docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"),
                         F.col("text").cast("string"))
-            .mapInArrow(_piece_batches(path or default_tokenizer(), capacity, separator, keep_ids),
+            .mapInArrow(T.released(_piece_batches(path or default_tokenizer(), capacity, separator, keep_ids)),
                         PIECE_DDL + ", ids array<int>" * keep_ids))
 
 

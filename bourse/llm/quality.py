@@ -151,7 +151,7 @@ def score_quality(docs: DataFrame, model: dict, name: str = "score") -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, `{name}` double")
+    return docs.mapInArrow(T.released(run), f"{kinds}, `{name}` double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, keep, held_out, *, threshold: float = 0.3, **options) -> DataFrame:

@@ -13,6 +13,8 @@ polynomials modulo the prime 2^61 - 1 in random bases.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,25 @@ _BASES = [int(x) for x in np.random.default_rng(20240601).integers(1 << 32, PRIM
 _powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]   # of each base and its inverse
 
 
+def release() -> None:
+    """Give what Arrow and the allocator hold beyond need back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)          # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def released(run):
+    """``run`` over batches; a worker that stays for later tasks keeps no memory of this one."""
+    @functools.wraps(run)
+    def wrapped(it):
+        try:
+            yield from run(it)
+        finally:
+            release()
+    return wrapped
+
+
 def byte_table(members) -> np.ndarray:
     """bool[256] that is true for the given byte values."""
     t = np.zeros(256, bool)
