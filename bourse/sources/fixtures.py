@@ -212,7 +212,9 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, NEWS_SQL)
+    """Titles are cut out before the joins, so no whole text is shuffled (the first line of a first line is itself)."""
+    title = F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("text")
+    return _sql(spark, sf_dir, NEWS_SQL, documents=table(spark, sf_dir, "documents").select("doc_id", "source", title))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

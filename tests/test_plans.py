@@ -38,3 +38,8 @@ def test_scan_prunes_columns_and_pushes_filter(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in p
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in p
+
+
+def test_news_cuts_titles_out_below_the_joins(spark):
+    p = X.news(spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert p.index("join") < p.rindex("split")
