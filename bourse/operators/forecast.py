@@ -136,7 +136,9 @@ def train_price_model(features: DataFrame, trees: int = 250, depth: int = 5, rat
     occurs often, as a missing-value branch would.
     """
     names = feature_columns(day)
-    rows = B.bin_rows(features.select(*names, *TARGETS).fillna(MISSING_LAG, subset=lag_columns(day)), names, TARGETS)
+    # read three times while it is binned
+    given = features.select(*names, *TARGETS).fillna(MISSING_LAG, subset=lag_columns(day)).checkpoint(eager=True)
+    rows = B.bin_rows(given, names, TARGETS)
     specs = [B.Spec("squared", target=i, trees=trees, depth=depth, rate=rate, rows=row_share, columns=column_share, seed=seed)
              for i in range(len(TARGETS))]
     return BoostedModel(names, rows.edges, dict(zip(TARGETS, B.fit_ensembles(rows, specs), strict=True)))
