@@ -16,6 +16,7 @@ import os
 import unicodedata
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 
@@ -24,7 +25,7 @@ from bourse.llm import textcols as T
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 LIMIT = 0x250
-CACHE_RUNS = 100_000
+CACHE_RUNS = 500_000     # some 40 bytes a run
 
 
 def default_tokenizer() -> str:
@@ -65,31 +66,49 @@ class RunTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)                 # hashes of the known runs, sorted
+        self.first = np.zeros(0, np.int64)                 # where each one's ids begin
+        self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _add(self, hashes: list[int], runs: list[bytes]) -> None:
-        apart = [b"'" in r for r in runs]
-        texts = [r.decode() for r in runs]
-        plain = iter(self.run.encode_batch_fast([t for t, a in zip(texts, apart, strict=True) if not a],
-                                                add_special_tokens=False))
-        full = iter(self.whole.encode_batch_fast([t for t, a in zip(texts, apart, strict=True) if a],
-                                                 add_special_tokens=False))
-        for h, a in zip(hashes, apart, strict=True):
-            got = next(full if a else plain).ids
-            k = len(self.known)
-            self.known[h] = k
-            while self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if k == len(self.first):
-                self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-                self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-            self.ids[self.used:self.used + len(got)] = got
-            self.first[k], self.count[k] = self.used, len(got)
-            self.used += len(got)
+    def _encoded(self, runs: list[bytes]) -> list[list[int]]:
+        """Ids of every run; one with an apostrophe is split by the tokenizer itself."""
+        out = [x.ids for x in self.run.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
+        apart = [i for i, r in enumerate(runs) if b"'" in r]
+        for i, x in zip(apart, self.whole.encode_batch_fast([runs[i].decode() for i in apart], add_special_tokens=False),
+                        strict=True):
+            out[i] = x.ids
+        return out
+
+    def _add(self, hashes: np.ndarray, runs: list[bytes]) -> None:
+        """Learn runs of sorted hashes that are not known yet."""
+        got = self._encoded(runs)
+        count = np.fromiter(map(len, got), np.int32, len(got))
+        total = np.cumsum(count, dtype=np.int64)
+        end = self.used + int(total[-1])
+        if end > len(self.ids):
+            grown = np.zeros(max(end, len(self.ids) * 3 // 2), np.uint32)
+            grown[:self.used] = self.ids[:self.used]
+            self.ids = grown
+        self.ids[self.used:end] = np.fromiter(chain.from_iterable(got), np.uint32, end - self.used)
+        first = self.used + total - count
+        self.used = end
+        # both lists are sorted: the new ones go to their places
+        at = np.searchsorted(self.keys, hashes) + np.arange(len(hashes))
+        old = np.ones(len(self.keys) + len(hashes), bool)
+        old[at] = False
+        for name, values in (("keys", hashes), ("first", first), ("count", count)):
+            was = getattr(self, name)
+            merged = np.empty(len(old), was.dtype)
+            merged[old], merged[at] = was, values
+            setattr(self, name, merged)
+
+    def _missing(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, hashes)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == hashes[known]
+        return np.flatnonzero(~known)
 
     def block(self, d: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
         """uint32 ids of every text of a block."""
@@ -139,14 +158,13 @@ class RunTokenizer:
         s, e = at[where], at[where + 1]
         h = T.span_hash(T.prefix_hash(low), s, e)
         uniq, one, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_RUNS:
+        if len(self.keys) > CACHE_RUNS:
             self._reset()
-        keys = uniq.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        new = self._missing(uniq)
+        if len(new):
             text = low.tobytes()
-            self._add([keys[i] for i in new], [text[s[one[i]]:e[one[i]]] for i in new])
-        slot = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[back]
+            self._add(uniq[new], [text[a:b] for a, b in zip(s[one[new]].tolist(), e[one[new]].tolist(), strict=True)])
+        slot = np.searchsorted(self.keys, uniq)[back]
         count = self.count[slot]
         total = np.cumsum(count)
         size = int(total[-1]) if len(total) else 0

@@ -102,6 +102,19 @@ def test_warc_empty(spark):
     assert warc.read_pages(spark, path).count() == 0
 
 
+def test_runs_that_a_task_has_met_are_not_encoded_again():
+    """150,000 different runs twice: each goes to the tokenizer once, and the ids stay the same."""
+    tok, given_ = tokens.RunTokenizer(tokens.default_tokenizer()), []
+    add = tok._add
+    tok._add = lambda hashes, runs: (given_.extend(runs), add(hashes, runs))[1]
+    names = ["".join("abcdefghij"[int(c)] for c in f"{i:06d}") for i in range(150_000)]
+    parts = [" ".join(names[a:a + 30_000]).encode() for a in range(0, len(names), 30_000)] * 2
+    ids = [tok.block(np.frombuffer(p, np.uint8), np.array([0, len(p)]))[0] for p in parts]
+    assert len(given_) == len(set(given_)) == len(names)
+    assert all((a == b).all() for a, b in zip(ids[:5], ids[5:], strict=True))
+    assert ids[3].tolist() == tok.whole.encode(parts[3].decode(), add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def tok():
     from tokenizers import Tokenizer
