@@ -201,15 +201,19 @@ def q_compare_sampling(spark: SparkSession, sf: str) -> DataFrame:
     """MOD-17: the same boosted trees with undersampling, SMOTE oversampling
     and no resampling; error counts on every split and on all rows (Q13)."""
     train, data, feats = _tabular(spark, sf)
+    # every fit passes over its rows several times, and every report over ``data``: the search and the joins run once
+    data = data.select("row_id", "split", "label", *feats, "features").checkpoint(eager=True)
+    train = data.where(F.col("split") == "train")
     synthetic = NB.smote(train.select("row_id", "label", *feats), "row_id", "label", feats, SEED)
     over = C.assemble(train.select("row_id", "label", *feats).unionByName(
-        synthetic.select((-F.col("i")).alias("row_id"), "label", *feats)), feats)
+        synthetic.select((-F.col("i")).alias("row_id"), "label", *feats)), feats).checkpoint(eager=True)
     est = C.estimators("gradient_boost", trees=20, depth=5, rate=0.1)
     out = None
-    for name, rows in (("under", PR.random_undersample(train, "row_id", "label", SEED)), ("over", over),
+    for name, rows in (("under", PR.random_undersample(train, "row_id", "label", SEED).checkpoint(eager=True)), ("over", over),
                        ("none", train)):
-        pred = C.fit_predict(est, rows, data)
-        per = confusion_counts(pred, ["split"]).unionByName(confusion_counts(pred).select(F.lit("all").alias("split"), "*"))
+        per = confusion_counts(C.fit_predict(est, rows, data), ["split"]).checkpoint(eager=True)   # one row a split
+        cells = [c for c in per.columns if c != "split"]
+        per = per.unionByName(per.agg(*[F.sum(c).alias(c) for c in cells]).select(F.lit("all").alias("split"), *cells))
         r = per.select(F.lit(name).alias("sampling"), "*")
         out = r if out is None else out.unionByName(r)
     return out
