@@ -47,6 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bourse.llm import bitmap
 from bourse.llm import textcols as T
 from bourse.llm.lines import discard, saved
 
@@ -108,17 +109,22 @@ def _signer(coordinates: int):
     return run
 
 
-def _set_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        data, off = T.column(batch, "text")
-        for i, j, d, o in T.blocks(data, off):
-            g, counts = shingle_sets(d, o)
-            ends = np.cumsum(counts)
-            sets = [np.unique(g[e - c:e]) for e, c in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in sets], pa.binary()),
-                 T.ragged(np.concatenate(sets).view(np.int64), np.array([len(u) for u in sets]), pa.int64())],
-                names=["digest", "shingles"])
+def _set_batches(bits):
+    """Sets of the rows whose id may be a candidate's."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            hashes = T.keep_columns(batch, ["id_hash"])[0].to_numpy()
+            batch = batch.filter(pa.array(bitmap.test(bits.value, hashes)))
+            data, off = T.column(batch, "text")
+            for _, _, d, o in T.blocks(data, off):
+                g, counts = shingle_sets(d, o)
+                ends = np.cumsum(counts)
+                sets = [np.unique(g[e - c:e]) for e, c in zip(ends, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in sets], pa.binary()),
+                     T.ragged(np.concatenate(sets).view(np.int64), np.array([len(u) for u in sets]), pa.int64())],
+                    names=["digest", "shingles"])
+    return run
 
 
 def signatures(docs: DataFrame, coordinates: int) -> DataFrame:
@@ -206,16 +212,16 @@ def _leader_pairs(lists: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
 
 
-def _rarest_first(rows: DataFrame, elements: Column, *cols: str) -> DataFrame:
-    """``rows`` with ``size``, and ``found``: the elements that other rows hold too, rarest first."""
+def _rarest_first(rows: DataFrame, elements: Column, *cols: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``size``, and ``found``: the elements that other rows hold too, rarest first; and the table it reads."""
     flat = saved(rows.select(*cols, F.size(elements).alias("size"), F.explode(elements).alias("list")), "near-elements")
     held = flat.groupBy("list").agg(F.count("*").alias("held")).where("held > 1")
     return (flat.join(held, "list").groupBy(*cols, "size")
             .agg(F.array_sort(F.collect_list(F.struct("held", "list"))).alias("found"))
-            .withColumn("known", F.size("found")))
+            .withColumn("known", F.size("found"))), flat
 
 
-def _joined(found: DataFrame, long: Column, short: Column, enough: Column) -> DataFrame:
+def _joined(found: DataFrame, flat: DataFrame, long: Column, short: Column, enough: Column) -> DataFrame:
     """Pairs in two components that share an element of the larger one's ``long`` and the smaller one's ``short`` prefix.
 
     Own elements come first in the order, so a prefix reaches that many less of
@@ -230,7 +236,9 @@ def _joined(found: DataFrame, long: Column, short: Column, enough: Column) -> Da
               .select("f.list", "node", "comp", "ref", "n", "size", "known", (F.col("at") < F.col("few")).alias("few"),
                       (F.col("at") < F.col("many")).alias("many")), "near-posted")
     mixed = posted.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
-    posted = saved(posted.join(mixed, "list", "left_semi"), "near-posted")
+    every, posted = posted, saved(posted.join(mixed, "list", "left_semi"), "near-posted")
+    for one in (flat, every):
+        discard(one)
     large = posted.where("many").select("list", *[F.col(c).alias(f"s_{c}") for c in ("node", "comp", "ref", "n", "size", "known")])
     pairs = (posted.where("few").join(large, "list").where("comp != s_comp")
              .where(F.struct("size", "node") < F.struct("s_size", "s_node")).where(enough))
@@ -265,7 +273,7 @@ def _open_pairs(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: in
     # shingles, for pairs of different references
     n = F.col("size")
     most = F.least("known", "s_known")
-    plain = _joined(_rarest_first(rows, F.col("shingles"), "node", "comp", "ref", "n"),
+    plain = _joined(*_rarest_first(rows, F.col("shingles"), "node", "comp", "ref", "n"),
                     n - up(percent * n / 100) + 1, n - up(2 * percent * n / both) + 1,
                     (F.col("ref") != F.col("s_ref")) & _sizes_fit("n", "s_n", percent)
                     & (100 * most >= percent * (F.col("n") + F.col("s_n") - most)))
@@ -278,8 +286,9 @@ def _open_pairs(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: in
     room = F.floor(F.col("n") * lost / percent).cast("int")     # differences that a link leaves at most
     shared = F.greatest(up(n * (both - lost) / (2 * both) - 1e-9), n - F.floor(room / 2).cast("int"), F.lit(1))
     enough = 2 * most >= F.col("size") + F.col("s_size") - (F.col("n") + F.col("s_n")) * lost / both - 1e-9
-    near = _joined(_rarest_first(changes, F.col("change"), "node", "comp", "ref", "n"),
+    near = _joined(*_rarest_first(changes, F.col("change"), "node", "comp", "ref", "n"),
                    n - F.greatest(n - room, F.lit(1)) + 1, n - shared + 1, _sizes_fit("n", "s_n", percent) & enough)
+    discard(rows)
     return plain.union(near)
 
 
@@ -308,25 +317,28 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, coordinates: int
     size_class = F.floor(F.log("n_shingles") / float(-np.log(threshold)) + 1e-9)
     lists = saved(posted.select("node", "central", F.explode(F.array(size_class, size_class + 1)).alias("size"), F.col("f.key"))
              .select("node", "central", F.xxhash64("key", "size").alias("list")).distinct(), "near-postings")
-    lists = saved(lists.join(lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list").select(
+    every, lists = lists, saved(lists.join(lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list").select(
         "list", "node", "central"), "near-lists")
+    discard(every)
     wanted = lists.select("node").distinct()
     sigs = saved(classes.join(wanted, "node", "left_semi"), "near-candidates")
-    ids = sigs.select(F.col("first_id").alias("id")).distinct()
-    sets = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-            .mapInArrow(T.released(_set_batches), "digest binary, shingles array<bigint>")
-            .join(sigs.select("digest", "node", "sig"), "digest").dropDuplicates(["node"])
-            .select("node", "sig", "shingles"), "near-sets")
+    # texts stay where they are: a row whose id may be a candidate's gives its set, and the digest decides
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap.build(sigs, F.xxhash64("first_id")))      # 2 MB at any size
+    found = (docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("id_hash"), F.col("text").cast("string"))
+             .mapInArrow(T.released(_set_batches(bits)), "digest binary, shingles array<bigint>"))
+    sets = saved(found.dropDuplicates(["digest"]).join(sigs.select("digest", "node", "sig"), "digest")
+                 .select("node", "sig", "shingles"), "near-sets")
 
     label = saved(sigs.select("node", F.col("node").alias("comp")), "near-labels")
-    tested = None
+    discard(sigs)
+    tested, tables = None, []
     for turn in range(LEADER_TURNS + 1):
         pairs = (_leader_pairs(lists, label, turn) if turn < LEADER_TURNS else _open_pairs(lists, label, sets, percent)).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         now = saved(_tested(pairs, sets, probe, percent), "near-tested")
         tested = now if tested is None else tested.union(now)
+        tables.append(now)
         # only this turn's links, between the components so far, which they merge
         a, b = (label.select(F.col("node").alias(x), F.col("comp").alias(f"of_{x}")) for x in "ab")
         links = now.where("linked").join(a, "a").join(b, "b").where("of_a != of_b").select(
@@ -336,6 +348,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, coordinates: int
         discard(was)
     named = saved(classes.select("digest", "first_id", "node").join(label, "node", "left").select(
         "digest", "first_id", F.coalesce("comp", "node").alias("comp")), "near-named")
+    for one in (lists, sets, label, classes, *tables):
+        discard(one)
     first = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(first, "comp").select(F.col("digest").alias("of"), "component_id")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -1,5 +1,7 @@
 """Near duplicates, lines, benchmark: brute force, hot groups and edge cases."""
 
+import itertools
+import os
 import random
 import re
 from itertools import combinations
@@ -95,6 +97,36 @@ def test_near_duplicates_copies_with_own_edits(spark):
     check_near(spark.createDataFrame([(k, " ".join(c)) for k, c in enumerate(copies)], "doc_id long, text string"), 0.85)
 
 
+def test_near_duplicates_shuffle_no_text_and_leave_little(spark, monkeypatch):
+    """Whatever the sizes, texts are not dealt out; tables that nothing reads any more are removed."""
+    plans, folders, saved = {}, [], M.saved
+
+    def recorded(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        out = saved(df, name)
+        folders.append((name, out.saved_at))
+        return out
+
+    monkeypatch.setattr(M, "saved", recorded)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(words[:k] + [f"c{k}"] + words[k + 1:])) for k in range(20)]
+    rows += [(100 + k, " ".join(f"own{k}x{i}" for i in range(40))) for k in range(30)] + [(None, rows[0][1]), (None, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")         # as if every table were large
+    try:
+        check_near(docs, 0.85)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    lines = plans["near-sets"].splitlines()
+    at = next(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    below = list(itertools.takewhile(lambda x: len(x) - len(x.lstrip(" :+-")) > lines[at].index("MapInArrow"), lines[at + 1:]))
+    assert below and not any("Exchange" in x or "Join" in x for x in below)
+    left = {name for name, path in folders if os.path.exists(path.removeprefix("file:"))}
+    assert not left & {"near-postings", "near-candidates", "near-lists", "near-sets", "near-elements", "near-open", "near-tested"}
+    assert {"near-signatures", "near-named"} <= left                     # the lazy result reads them
+
+
 def test_least_matches():
     assert M.least_matches(0.85, 48) == 27 and M.least_matches(0.8, 48) == 24 and M.least_matches(0.5, 1) == 1
 
