@@ -19,9 +19,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +30,7 @@ from bourse.sources.files import NEWS_ITEM_SCHEMA, TS_FORMAT
 from bourse.sources.versions import publish, published, remove
 
 FAN_IN = 4               # runs of a level that become one of the next
+_PLACE = ["published_at", "doc_id"]
 
 BAR_BATCH_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
@@ -229,41 +228,21 @@ def read_news_mood(spark: SparkSession, out: str) -> DataFrame:
     return every.select("symbol", "day", F.round(mood, 6).alias("mood"), "items")
 
 
-_FIRST = T.StructType([*NEWS_ITEM_SCHEMA.fields])
-_ORDER = ["_undated", "published_at", "doc_id"]
-
-
-def _earliest(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The link's earliest item, if it is new or earlier than the one in the state."""
-    best = None
-    for part in parts:
-        part = part.assign(_undated=part["published_at"].isna())
-        if best is not None:
-            part = pd.concat([best, part])
-        best = part.sort_values(_ORDER, kind="stable", na_position="last").head(1)
-    if best is None:
-        return
-    row = best.iloc[0]
-    at = -1 if row["_undated"] else int(pd.Timestamp(row["published_at"]).value // 1000)
-    mine = (bool(row["_undated"]), at, int(row["doc_id"]))
-    if state.exists and tuple(state.get) <= mine:
-        return
-    state.update(mine)
-    yield best.drop(columns=["_undated", "_key"])
-
-
 def stream_first_seen_news(spark: SparkSession, landing: str, out: str, checkpoint: str,
                            files_per_batch: int | None = None) -> DataFrame:
     """STR-3: each link once, with its earliest item (undated last, then doc_id).
 
-    The state store holds the place of each link's earliest item so far; a micro-batch
+    The state store holds each link's earliest item so far and the micro-batch that brought it; a micro-batch
     lands only links that it has not seen, or an earlier item of one. No
     earlier output is read. Items without a link count as one link.
     """
     src = _news_stream(spark, landing, files_per_batch).where(F.col("doc_id").isNotNull())
-    keyed = src.withColumn("_key", F.coalesce(F.concat(F.lit("l"), "link"), F.lit("none")))
-    found = keyed.groupBy("_key").applyInPandasWithState(
-        _earliest, _FIRST, "undated boolean, at long, doc_id long", "update", "NoTimeout")
+    # one time for all rows of a micro-batch, logged with it: of equal items the one that came first stays
+    rest = [c for c in NEWS_ITEM_SCHEMA.names if c not in ("link", *_PLACE)]
+    item = F.struct(F.col("published_at").isNull().alias("undated"), *_PLACE, F.current_timestamp().alias("came"), *rest)
+    first = src.select("link", item.alias("item")).groupBy("link").agg(F.min("item").alias("f"))
+    found = first.where(F.col("f.came") == F.current_timestamp()).select(
+        *[F.col(c if c == "link" else f"f.{c}").alias(c) for c in NEWS_ITEM_SCHEMA.names])
 
     def sink(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")

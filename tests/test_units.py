@@ -350,6 +350,30 @@ def test_mood_stream_keeps_late_and_undated_items(spark):
     assert days == {19, 20, 21}, json.dumps(sorted(days))
 
 
+def test_first_seen_stream_calls_no_python_per_link(spark, monkeypatch):
+    """A call a link was most of the job's time: the state is kept by the engine's own aggregate. Equal items are landed once."""
+    from pyspark.sql.streaming import DataStreamWriter
+
+    from bourse.streaming import streams as ST
+
+    plans, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: plans.append(start(self, *a, **k)) or plans[-1])
+    landing, out, progress = (scratch_path(spark, f"t-seen-{x}") for x in "def")
+    land(spark, landing, [news_item(k, "A", None if k % 5 == 0 else k % 7 + 1, None if k % 4 == 0 else f"l{k % 6}") for k in range(60)])
+    ST.stream_first_seen_news(spark, landing, out, progress, 1)
+    land(spark, landing, [news_item(k, "A", None if k % 5 == 0 else k % 7 + 1, None if k % 4 == 0 else f"l{k % 6}") for k in range(60)])
+    got = ST.stream_first_seen_news(spark, landing, out, progress, 1)
+    best: dict = {}
+    for k in range(60):
+        link, place = None if k % 4 == 0 else f"l{k % 6}", (k % 5 == 0, 0 if k % 5 == 0 else k % 7, k)
+        best[link] = min(best.get(link, place), place)
+    assert {(r.link, r.doc_id) for r in got.collect()} == {(link, place[2]) for link, place in best.items()}
+    assert spark.read.parquet(out).where("doc_id IS NOT NULL").count() == len(best)      # a replayed list lands nothing
+    for query in plans:
+        plan = query._jsq.explainInternal(False)
+        assert "StateStoreSave" in plan and "InPandas" not in plan, plan
+
+
 def test_first_seen_stream_lands_new_links_only(spark):
     from bourse.streaming import streams as ST
 
