@@ -256,7 +256,8 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 6, exact_words: int = 1,
         F.col("doc_id").alias("__of"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
     joined = docs.join(gone, own, "left")
-    text = F.pandas_udf(_without, "string")
+    # else a filter or a length of the new text would cut it again, in a Python worker of its own
+    text = F.pandas_udf(_without, "string").asNondeterministic()
     cols = [F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(text("text", "__gone")).alias("text")
             if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if count:

@@ -180,6 +180,20 @@ def test_line_dedup_brute_force(spark, odd_docs, no_docs):
         assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == brute_lines(plain)
 
 
+def test_line_stage_cuts_each_text_once(spark):
+    """The stage's filter and length read the cut text; a second cut would take a second Python worker in the same task."""
+    import corpus_pipeline as C
+
+    rows = [(1, "the same line stands here twice in all\nan own line of the first text here", "en", "s", 0),
+            (2, "the same line stands here twice in all\nan own line of another text there", "en", "s", 0),
+            (3, "the same line stands here twice in all", "en", "s", 0)]
+    out = C.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_without(") == 1, plan
+    got = {(r.doc_id, r.text, r.n_chars) for r in out.collect()}
+    assert got == {(1, rows[0][1], len(rows[0][1])), (2, rows[1][1].split("\n")[1], len(rows[1][1].split("\n")[1]))}
+
+
 def test_half_keys_find_every_pair_one_edit_apart():
     import numpy as np
 
