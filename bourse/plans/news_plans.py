@@ -196,18 +196,21 @@ def q_news_newest_first(spark: SparkSession, sf: str) -> DataFrame:
     return N.news_newest_first(X.news(spark, sf)).select("doc_id", "symbol", "published_at")
 
 
-SCAN_DAYS = 1  # the given news lie within three days, so this window leaves some out
+SCAN_DAYS = 30  # the study's period
 
 
 @register("scan_news", W(
-    "WITH u AS (SELECT * FROM news WHERE doc_id % 3 <> 0 UNION ALL SELECT * FROM news WHERE doc_id % 3 <> 1), "
+    "WITH u AS (SELECT * FROM news WHERE coalesce(doc_id % 3, 2) <> 0 UNION ALL "
+    "SELECT * FROM news WHERE coalesce(doc_id % 3, 2) <> 1), "
     "e AS (SELECT max(published_at) AS as_of FROM news) "
     "SELECT doc_id, symbol, title, link, media, published_at, label FROM u, e WHERE published_at IS NULL OR "
     f"(published_at > as_of - INTERVAL {SCAN_DAYS} DAY AND published_at <= as_of)", "news"))
 def q_scan_news(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-7: two overlapping landed result lists, unioned, the days before the newest item, newest first."""
+    """SRC-7: two overlapping landed result lists, which hold every item together, unioned, the 30 days
+    before the newest item, newest first."""
     n = X.news(spark, sf)
-    paths = [S.write_json(n.where(F.col("doc_id") % 3 != left_out), scratch_path(spark, f"news-{left_out}"))
+    third = F.coalesce(F.col("doc_id") % 3, F.lit(2))          # an item without id is in both lists
+    paths = [S.write_json(n.where(third != left_out), scratch_path(spark, f"news-{left_out}"))
              for left_out in (0, 1)]
     as_of = n.agg(F.max("published_at").cast("string")).first()[0]
     return S.scan_news(spark, paths, as_of, SCAN_DAYS)

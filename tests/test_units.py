@@ -387,3 +387,19 @@ def test_first_seen_stream_lands_new_links_only(spark):
     assert {(r.link, r.doc_id) for r in got.collect()} == {("x", 2), ("y", 6), (None, 4), ("z", 8)}
     later = spark.read.parquet(*[f for f in spark.read.parquet(out).inputFiles() if f not in first]).collect()
     assert {(r.link, r.doc_id) for r in later} == {("y", 6), ("z", 8)}          # an earlier item, and a new link
+
+
+def test_scan_news_reads_the_whole_period(spark, monkeypatch):
+    """Every item of the 30 days before the newest one comes back, one without id too."""
+    from bourse.plans import news_plans as NP
+
+    newest = dt.datetime(2024, 3, 31, 12)
+    dated = [(i, "S", f"t{i}", None, "m", newest - dt.timedelta(days=i), "n/a") for i in range(40)]
+    made = spark.createDataFrame([*dated, (40, "S", "undated", None, "m", None, "n/a"), (None, "S", "no id", None, "m", newest, "n/a")],
+                                 "doc_id long, symbol string, title string, link string, media string, published_at timestamp_ntz, label string")
+    monkeypatch.setattr(NP.X, "news", lambda *_: made)
+    got = [(r.doc_id, r.title) for r in NP.q_scan_news(spark, "").collect()]
+    lists = [(i, f"t{i}") for i in range(30)] + [(40, "undated"), (None, "no id")]
+    both = [x for x in lists if x[0] is None or x[0] % 3 == 2]
+    assert sorted(got, key=str) == sorted(lists + both, key=str)
+    assert got[-1] == (40, "undated") and [x for x in got if x[0] not in (None, 40)] == sorted(x for x in got if x[0] not in (None, 40))
